@@ -7,8 +7,31 @@ from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm.common import load
+from textloom.llm.common import load, remainder
 from textloom.llm.jaccard_join import jaccard_components
+from textloom.llm.language_id import identify_languages, learn_languages
+from textloom.llm.packing import pack
+from textloom.llm.ppm import lm_scores
+from textloom.llm.secrets import find_secrets, secret_digest
+
+
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(load(spark, sf_dir, "documents"))
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_digest(find_secrets(load(spark, sf_dir, "documents")))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    found = identify_languages(docs, learn_languages(docs, remainder("doc_id", 5) != 0))
+    return found.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score", "reliable")
+
+
+def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    return lm_scores(docs, remainder("doc_id", 7) != 2)
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +53,10 @@ SELECT s.doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles, min(r.at) AS component_
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_secret_scan": op3_secret_scan,
+    "op4_language_id": op4_language_id,
+    "op7_lm_scores": op7_lm_scores,
     "op8_jaccard_join": op8_jaccard_join,
 }
 
