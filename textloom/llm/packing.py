@@ -24,6 +24,32 @@ _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part
 _SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
 
+#: Fixed value: how byte-level tokenizers part a text before they merge bytes.
+_PARTS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def _same_as_ranks(path: str):
+    """The file's vocabulary as a tiktoken encoding, if it is plain byte-level BPE whose ids are in the order of merges, so
+    that both give the same ids; else None."""
+    import json
+
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        t = json.load(f)
+    pre, model = t.get("pre_tokenizer") or {}, t["model"]
+    plain = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+    if not plain or t.get("normalizer") or model.get("type") not in (None, "BPE") or model.get("byte_fallback") or model.get("dropout"):
+        return None
+    vocab, merges = model["vocab"], [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    if any(vocab.get(a + b) != 256 + k for k, (a, b) in enumerate(merges)):
+        return None
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte = {chr(x): x for x in shown} | {chr(256 + k): x for k, x in enumerate(x for x in range(256) if x not in set(shown))}
+    special = {x["content"] for x in t.get("added_tokens", [])}
+    return tiktoken.Encoding("file", pat_str=_PARTS, mergeable_ranks={bytes(byte[c] for c in w): i for w, i in vocab.items() if w not in special}, special_tokens={})
+
+
 class Encoder:
     """ids of whole texts as little-endian uint32 bytes, by a byte-level BPE of `tokenizers`.
 
@@ -37,16 +63,20 @@ class Encoder:
         self.tk.encode_special_tokens = True
         self.limit, self.known, self.first = limit, {}, {}
         vocab = self.tk.get_vocab(with_added_tokens=True)
+        self.fast = _same_as_ranks(path)
         self.opens = np.zeros(max(vocab.values()) + 1, bool)
         self.opens[[i for t, i in vocab.items() if t.startswith("Ġ")]] = True
 
     def _ids(self, text: str) -> bytes:
-        return np.array(self.tk.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return self._array(text).tobytes()
+
+    def _array(self, text: str) -> np.ndarray:
+        return np.array(self.fast.encode_ordinary(text) if self.fast else self.tk.encode(text, add_special_tokens=False).ids, "<u4")
 
     def _learn(self, new: list[str]) -> None:
         for k in range(0, len(new), 2000):
             some = new[k : k + 2000]
-            ids = np.array(self.tk.encode(" " + " ".join(some), add_special_tokens=False).ids, "<u4")
+            ids = self._array(" " + " ".join(some))
             cuts = np.flatnonzero(self.opens[ids])
             if len(cuts) == len(some):
                 raw = ids.tobytes()
