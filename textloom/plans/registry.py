@@ -5,11 +5,41 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from textloom.operators import corpus
+from textloom.operators.analysis import OPERATORS
+from textloom.sources.tables import table
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _over(f: Callable[..., DataFrame], *tables: str) -> Query:
+    return lambda spark, sf_dir: f(*(table(spark, sf_dir, t) for t in tables))
+
+
+QUERIES: dict[str, Query] = {name: _over(op.apply, op.source) for name, op in OPERATORS.items()}
+ORACLE_SQL: dict[str, str] = {name: op.sql() for name, op in OPERATORS.items()}
+
+for _name, _f, _tables, _sql in (
+    ("term_frequency", corpus.term_frequency, ["documents"], corpus.TERM_SQL),
+    ("lexical_richness", corpus.lexical_richness, ["documents"], corpus.RICHNESS_SQL),
+    ("char_entropy", corpus.char_entropy, ["documents"], corpus.CHAR_SQL),
+    ("keywords", corpus.keywords, ["documents"], corpus.KEYWORDS_SQL),
+    ("repeated_ngrams", corpus.repeated_ngrams, ["documents"], corpus.REPEATED_SQL),
+    ("pair_similarity", corpus.pair_similarity, ["documents", "benchmark"], corpus.PAIR_SQL),
+    ("usage_counters", corpus.usage_counters, ["events"], corpus.USAGE_SQL),
+    ("latest_feedback", corpus.latest_feedback, ["events"], corpus.FEEDBACK_SQL),
+    ("metric_separation", corpus.metric_separation, ["documents", "labels"], corpus.separation_sql()),
+    ("page_blocks", corpus.page_blocks, ["pages"], corpus.BLOCKS_SQL),
+    ("site_platform", corpus.site_platform, ["pages"], corpus.site_sql()),
+    ("scan_page", corpus.scan_page, ["pages"], corpus.scan_sql()),
+    ("marker_counts", corpus.marker_counts, ["documents"], corpus.marker_sql()),
+    ("role_profiles", corpus.similar_turns, ["conversations"], corpus.TURNS_SQL),
+):
+    QUERIES[_name] = _over(_f, *_tables)
+    ORACLE_SQL[_name] = _sql
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").agg(F.count(F.lit(1)).alias("docs"))
+    """The page scan: blocks, counts, how the site was built."""
+    return QUERIES["scan_page"](spark, sf_dir)
