@@ -116,7 +116,7 @@ class Toxicity:
     """terms: log-odds of lexicon terms; weights and bias of the logistic model over `features`."""
 
     terms: dict[str, float]
-    weights: np.ndarray = field(default_factory=lambda: np.zeros(5))
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(4))
     bias: float = -2.0
     limit: int = 400_000
 
@@ -137,27 +137,26 @@ class Toxicity:
         return value
 
     def features(self, text: str | None) -> np.ndarray:
-        """Sums over hits: exact and edited ones in plain use, quoted or reported ones, hits near other hits, and density."""
+        """Sums over hits: in plain use (edited ones for less), quoted or reported, near other hits; and plain hits' share."""
         if self.automaton is None:
             self.automaton = LexiconAutomaton(self.terms)
-        f = np.zeros(5)
+        f = np.zeros(4)
         if not text:
             return f
         tokens, get, look = text.split(), self.known.get, self._look
         values = [look(t) if (v := get(t)) is None else v for t in tokens]
-        hits = [k for k, v in enumerate(values) if v]
+        hits, plain_hits = [k for k, v in enumerate(values) if v], 0
         for n, k in enumerate(hits):
-            v, quoted = values[k], self._quoted(tokens, k)
+            v = values[k] if values[k] > 0 else -0.8 * values[k]
+            if self._quoted(tokens, k):
+                f[1] += v
+                continue
             near = (n > 0 and k - hits[n - 1] <= WINDOW) or (n + 1 < len(hits) and hits[n + 1] - k <= WINDOW)
-            if quoted:
-                f[2] += abs(v)
-            elif v > 0:
-                f[0] += v
-            else:
-                f[1] -= v * 0.5
-            f[3] += near and not quoted
-        f[4] = len(hits) / max(20, len(tokens))
-        f[:4] = np.log1p(f[:4])
+            f[0] += v
+            f[2] += near
+            plain_hits += 1
+        f[:3] = np.log1p(f[:3])
+        f[3] = plain_hits / max(20, len(tokens))
         return f
 
     @staticmethod
@@ -219,7 +218,7 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, id_col: st
             x = [shared.value.features(t.as_py()).tolist() for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(1)], names=["x", "toxic"])
 
-    got = texts.mapInArrow(run, "x array<double>, toxic int").collect()  # five numbers for each sampled row
+    got = texts.mapInArrow(run, "x array<double>, toxic int").collect()  # four numbers for each sampled row
     if len({r["toxic"] for r in got}) == 2:
         model.weights, model.bias = _logistic(np.array([r["x"] for r in got]), np.array([float(r["toxic"] > 0) for r in got]))
     return model
