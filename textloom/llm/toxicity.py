@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.llm.common import materialize
+
 _EDGES = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 _LEET = str.maketrans("013457@$!|", "oieastasii")
 _OPEN, _CLOSE = set("\"“”„«»‘'"), set("\"“”„«»’'")
@@ -36,8 +38,9 @@ def plain(token: str) -> str:
 class LexiconAutomaton:
     """Words within allowed edits of a lexicon term; deterministic states are made when first met and remembered."""
 
-    def __init__(self, terms: dict[str, float], limit: int = 200_000):
-        self.terms, self.limit = terms, limit
+    def __init__(self, terms: dict[str, float], limit: int = 200_000, edits: dict[str, int] | None = None):
+        """edits: for some terms, fewer edits than their length allows."""
+        self.terms, self.limit, edits = terms, limit, edits or {}
         self.child: list[dict[str, int]] = [{}]
         self.ends: list[tuple[str, int] | None] = [None]
         self.deep = [0]
@@ -50,7 +53,7 @@ class LexiconAutomaton:
                     self.ends.append(None)
                     self.deep.append(0)
                 at = self.child[at][c]
-            self.ends[at] = (term, self.allowed(term))
+            self.ends[at] = (term, min(self.allowed(term), edits.get(term, 9)))
         for at in range(len(self.child) - 1, -1, -1):  # the most edits that any term below allows
             below = [self.deep[c] for c in self.child[at].values()]
             self.deep[at] = max([*below, self.ends[at][1] if self.ends[at] else 0])
@@ -118,6 +121,7 @@ class Toxicity:
     terms: dict[str, float]
     weights: np.ndarray = field(default_factory=lambda: np.zeros(4))
     bias: float = -2.0
+    edits: dict[str, int] = field(default_factory=dict)
     limit: int = 400_000
 
     def __post_init__(self):
@@ -139,7 +143,7 @@ class Toxicity:
     def features(self, text: str | None) -> np.ndarray:
         """Sums over hits: in plain use (edited ones for less), quoted or reported, near other hits; and plain hits' share."""
         if self.automaton is None:
-            self.automaton = LexiconAutomaton(self.terms)
+            self.automaton = LexiconAutomaton(self.terms, edits=self.edits)
         f = np.zeros(4)
         if not text:
             return f
@@ -182,6 +186,22 @@ def _term_counts(batches):
     yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), *[pa.array([n[k] for n in total.values()], pa.int64()) for k in (0, 1)]], names=["word", "clean", "toxic"])
 
 
+def _edited(terms: dict[str, float]):
+    """Words of labelled texts -> the terms that they are edits of, with their counts."""
+
+    def run(batches):
+        a, total = LexiconAutomaton(terms), {}
+        for batch in batches:
+            for word, clean, toxic in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                if (hit := a.find(word)) and hit[1]:
+                    n = total.setdefault(hit, [0, 0])
+                    n[0], n[1] = n[0] + clean, n[1] + toxic
+        rows = [(t, e, *n) for (t, e), n in total.items()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], x) for k, x in enumerate((pa.string(), pa.int32(), pa.int64(), pa.int64()))], names=["term", "edits", "clean", "toxic"])
+
+    return run
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60, ridge: float = 0.05) -> tuple[np.ndarray, float]:
     """Newton's method with a ridge on the weights, not on the bias."""
     a = np.column_stack([x, np.ones(len(x))])
@@ -195,10 +215,12 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60, ridge: float = 0.0
     return w[:-1], float(w[-1])
 
 
-def learn_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_rows: int = 20_000, most_terms: int = 3_000, least_texts: int = 4, least_odds: float = 2.0) -> Toxicity:
+def learn_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_rows: int = 20_000, most_terms: int = 3_000, least_texts: int = 4, least_odds: float = 2.0, edit_share: float = 0.05) -> Toxicity:
     """Fit on a sample of labelled rows for which learn holds: about label_rows, chosen by a hash of the id, which bounds
     what is broadcast and collected. The lexicon has at most most_terms words, each in at least least_texts toxic texts
-    with log-odds of at least least_odds, the strongest first."""
+    with log-odds of at least least_odds, the strongest first. Terms in fewer than edit_share of the toxic texts are matched
+    exactly: chance resemblance to a rare word says little. A term whose edits are met in texts not labelled toxic, with
+    less than those odds, allows fewer of them."""
     spark = docs.sparkSession
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null").where(learn).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     count = known.count()
@@ -208,9 +230,15 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, id_col: st
     sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     bad, good = max(1, sizes.get(1, 0)), max(1, sizes.get(0, 0))
     odds = F.log((F.col("toxic") + 0.5) / (bad + 1)) - F.log((F.col("clean") + 0.5) / (good + 1))
-    terms = texts.mapInArrow(_term_counts, "word string, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).where(f"toxic >= {least_texts}").withColumn("odds", odds).where(f"odds >= {least_odds}")
+    counts = materialize(texts.mapInArrow(_term_counts, "word string, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")), "words")
+    terms = counts.where(f"toxic >= {least_texts}").withColumn("odds", odds).where(f"odds >= {least_odds}")
     rows = terms.orderBy(F.desc(F.col("odds") * F.sqrt("toxic")), "word").limit(most_terms).collect()
-    model = Toxicity({r["word"]: float(r["odds"]) for r in rows})
+    found = {r["word"]: float(r["odds"]) for r in rows}
+    edits = {r["word"]: 0 for r in rows if r["toxic"] < edit_share * bad}
+    for r in counts.mapInArrow(_edited(found), "term string, edits int, clean long, toxic long").groupBy("term", "edits").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).collect():  # two rows for each term at most
+        if r["clean"] and math.log((r["toxic"] + 0.5) / (bad + 1)) - math.log((r["clean"] + 0.5) / (good + 1)) < least_odds:
+            edits[r["term"]] = min(edits.get(r["term"], 9), r["edits"] - 1)
+    model = Toxicity(found, edits=edits)
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches):
