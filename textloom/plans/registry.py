@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.operators import corpus
+from textloom.operators import corpus, language
 from textloom.operators.analysis import OPERATORS
 from textloom.sources.tables import table
 
@@ -34,6 +34,7 @@ for _name, _f, _tables, _sql in (
     ("site_platform", corpus.site_platform, ["pages"], corpus.site_sql()),
     ("scan_page", corpus.scan_page, ["pages"], corpus.scan_sql()),
     ("marker_counts", corpus.marker_counts, ["documents"], corpus.marker_sql()),
+    ("summary", language.summary, ["documents"], language.SUMMARY_SQL),
     ("role_profiles", corpus.similar_turns, ["conversations"], corpus.TURNS_SQL),
 ):
     QUERIES[_name] = _over(_f, *_tables)
