@@ -37,6 +37,21 @@ def test_near_vectors_against_all_pairs(spark, block):
     assert nv.near_vectors(df.where("false")).count() == 0
 
 
+def test_links_are_counted_once_from_either_side_when_few_lists_are_visited(spark):
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=16)
+    rows = [(k, (base + rng.normal(scale=0.3, size=16)).tolist()) for k in range(150)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    unit = np.array([np.array(v) / np.sqrt((np.array(v) ** 2).sum()) for _, v in rows])
+    order = sorted(range(150), key=lambda k: unit[k].tobytes())
+    quantiser = nv.Quantiser(unit[order], 12, 16)
+    visits = nv._nearest(unit, quantiser.coarse, 3)
+    meets = np.array([[visits[b, 0] in visits[a] or visits[a, 0] in visits[b] for b in range(150)] for a in range(150)])
+    linked = (unit @ unit.T >= 0.9) & meets & ~np.eye(150, dtype=bool)
+    got = {r.vec_id: r.n_links for r in nv.near_vectors(df, 0.9, lists=12, probes=3, block=32).collect()}
+    assert got == dict(enumerate(linked.sum(1).tolist()))
+
+
 def test_components_of_chains_stars_and_loops(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 140)] + [(7, 7), (3, None)] + [(200, 201)] * 3
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}

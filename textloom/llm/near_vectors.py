@@ -6,7 +6,10 @@ a table of distances from its own residual to the subspace centroids gives, by l
 and members within the radius that the cosine threshold sets, widened by what coding may lose, are compared exactly in
 double precision. Lists are dealt in blocks of bounded size, members against queries, so that a long list is many tasks.
 
-Equal vectors are one member with a multiplicity, so a hot group of copies costs one comparison.
+Equal vectors are one member with a multiplicity, so a hot group of copies costs one comparison. A block of comparisons
+returns counts of links and a spanning forest of them, never the links themselves, so a group of near copies returns
+rows in proportion to its members. A link that both sides find is counted by each for itself; a member that would not
+visit the list of its finder has the link counted by the finder.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from pyspark.sql import functions as F
 from textloom.llm.common import materialize
 from textloom.llm.components import connected_components
 
-_PLACED = "role string, list long, fp binary, code binary, slack double"
+_PLACED = "role string, list long, fp string, unit binary, times long, home long, code binary, slack double, visits binary"
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
@@ -98,55 +101,73 @@ def _units(batches):
 
 
 def _place(model, probes: int):
-    """Unit vectors -> one member row in its own list, and a query row in each of its nearest lists."""
+    """Distinct unit vectors -> one member row in its own list, and a query row in each of its nearest lists."""
 
     def run(batches):
         q = model.value
         for batch in batches:
-            fps = batch.column(0).to_pylist()
+            fps, units, times = (c.to_pylist() for c in batch.columns)
             if not fps:
                 continue
-            x = np.frombuffer(b"".join(fps), np.float64).reshape(len(fps), -1)
+            x = np.frombuffer(b"".join(units), np.float64).reshape(len(fps), -1)
             near = _nearest(x, q.coarse, probes)
             codes, lost = q.encode(x - q.coarse[near[:, 0]])
-            role, lists, who, code, slack = [], [], [], [], []
+            out = []
             for k, fp in enumerate(fps):
-                role.append("m")
-                lists.append(int(near[k, 0]))
-                who.append(fp)
-                code.append(codes[k].tobytes())
-                slack.append(float(lost[k]))
-                for at in near[k].tolist():
-                    role.append("q")
-                    lists.append(at)
-                    who.append(fp)
-                    code.append(None)
-                    slack.append(None)
-            yield pa.RecordBatch.from_arrays([pa.array(role), pa.array(lists, pa.int64()), pa.array(who, pa.binary()), pa.array(code, pa.binary()), pa.array(slack, pa.float64())], names=["role", "list", "fp", "code", "slack"])
+                home = int(near[k, 0])
+                out.append(("m", home, fp, units[k], times[k], home, codes[k].tobytes(), float(lost[k]), near[k].astype(np.int32).tobytes()))
+                out.extend(("q", at, fp, units[k], times[k], home, None, None, None) for at in near[k].tolist())
+            kinds = (pa.string(), pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.float64(), pa.binary())
+            columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, names=["role", "list", "fp", "unit", "times", "home", "code", "slack", "visits"])
 
     return run
 
 
 def _compare(model, cosine: float):
-    """One block of members against one block of queries of the same list."""
+    """One block of members against one block of queries of the same list -> (a, null, links of a) and forest edges (a, b, null).
+
+    Cosines are summed row by row, so that a pair has the same one from either side."""
     radius = math.sqrt(2 - 2 * cosine)
 
     def run(members: pa.Table, queries: pa.Table) -> pa.Table:
-        q, a, b = model.value, [], []
+        a, b, n = [], [], []
         if members.num_rows and queries.num_rows:
+            q = model.value
             mine, asked = members.column("fp").to_pylist(), queries.column("fp").to_pylist()
-            x = np.frombuffer(b"".join(mine), np.float64).reshape(len(mine), -1)
-            y = np.frombuffer(b"".join(asked), np.float64).reshape(len(asked), -1)
+            x = np.frombuffer(b"".join(members.column("unit").to_pylist()), np.float64).reshape(len(mine), -1)
+            y = np.frombuffer(b"".join(queries.column("unit").to_pylist()), np.float64).reshape(len(asked), -1)
             codes = np.frombuffer(b"".join(members.column("code").to_pylist()), np.uint8).reshape(len(mine), -1)
-            reach = (radius + 1e-6 + np.array(members.column("slack").to_pylist())) ** 2
+            visits = np.frombuffer(b"".join(members.column("visits").to_pylist()), np.int32).reshape(len(mine), -1)
+            reach = (radius + 1e-6 + members.column("slack").to_numpy()) ** 2
+            m_times, q_times = members.column("times").to_numpy(), queries.column("times").to_numpy()
+            homes = queries.column("home").to_numpy()
             centre, places = q.coarse[members.column("list_")[0].as_py()], np.arange(codes.shape[1])
-            for k in range(len(asked)):
+            at = {fp: k for k, fp in enumerate(mine)}
+            own = [at.setdefault(fp, len(at)) for fp in asked]
+            names = list(at)
+            tree = np.arange(len(names))
+            links = np.zeros(len(names), np.int64)
+            for k, me in enumerate(own):
                 near = np.flatnonzero(q.table(y[k] - centre)[places, codes].sum(1) <= reach)
-                for m in near[x[near] @ y[k] >= cosine].tolist():
-                    if mine[m] != asked[k]:
-                        a.append(min(mine[m], asked[k]))
-                        b.append(max(mine[m], asked[k]))
-        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+                near = near[((x[near] * y[k]).sum(1) >= cosine) & (near != me)]
+                if not len(near):
+                    continue
+                links[me] += m_times[near].sum()
+                links[near[~(visits[near] == homes[k]).any(1)]] += q_times[k]
+                apart = near[tree[near] != tree[me]]
+                if len(apart):
+                    labels, first = np.unique(tree[apart], return_index=True)
+                    for m in apart[first].tolist():
+                        a.append(names[me])
+                        b.append(names[m])
+                        n.append(None)
+                    tree[np.isin(tree, labels)] = tree[me]
+            for k in np.flatnonzero(links).tolist():
+                a.append(names[k])
+                b.append(None)
+                n.append(int(links[k]))
+        return pa.table({"a": pa.array(a, pa.string()), "b": pa.array(b, pa.string()), "n": pa.array(n, pa.int64())})
 
     return run
 
@@ -166,15 +187,14 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id"
     members = materialize(units.where("unit is not null").groupBy("dim", "fp").agg(F.first("unit").alias("unit"), F.count(F.lit(1)).alias("times"), F.min("vec_id").alias("least")), "classes")
     links = None
     for dim, n in sorted((r["dim"], r["n"]) for r in members.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()):  # one entry for each dimension
-        found = _links(members.where(F.col("dim") == dim).select("unit"), n, cosine, sample_rows, lists, probes, parts, block)
+        found = _links(members.where(F.col("dim") == dim).select("fp", "unit", "times"), n, cosine, sample_rows, lists, probes, parts, block)
         links = found if links is None else links.unionByName(found)
     if links is None:
-        links = spark.createDataFrame([], "a binary, b binary")
-    links = materialize(links.select(F.md5("a").alias("a"), F.md5("b").alias("b")).distinct(), "links")
-    joined = connected_components(links)
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        links = spark.createDataFrame([], "a string, b string, n long")
+    links = materialize(links, "links")
+    joined = connected_components(links.where("b is not null").select("a", "b"))
+    degree = links.where("b is null").groupBy(F.col("a").alias("fp")).agg(F.sum("n").alias("others"))
     sizes = members.select("fp", "times", "least").join(joined.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    degree = both.join(members.select(F.col("fp").alias("b"), "times"), "b").groupBy(F.col("a").alias("fp")).agg(F.sum("times").alias("others"))
     label = sizes.groupBy("component").agg(F.min("least").alias("component_id"))
     facts = sizes.join(label, "component").join(degree, "fp", "left").select("fp", (F.coalesce("others", F.lit(0)) + F.col("times") - 1).alias("n_links"), "component_id")
     linked = units.join(facts, "fp", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
@@ -183,7 +203,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id"
 
 
 def _links(units: DataFrame, n: int, cosine: float, sample_rows: int, lists: int | None, probes: int, parts: int, block: int) -> DataFrame:
-    """Pairs (a, b), a < b, of distinct unit vectors with at least that cosine."""
+    """Partial counts of links (a, null, n) and edges (a, b, null) that connect what is linked, of distinct unit vectors."""
     sc = units.sparkSession.sparkContext
     lists = lists or max(1, min(4096, int(math.sqrt(n))))
     share = min(1.0, sample_rows / max(n, 1))
@@ -197,8 +217,8 @@ def _links(units: DataFrame, n: int, cosine: float, sample_rows: int, lists: int
     dealt = placed.join(F.broadcast(blocks), "list")  # one row for each list, at most 4096
     at = F.pmod(F.xxhash64("fp"), F.when(F.col("role") == "m", F.col("mb")).otherwise(F.col("qb")))
     dealt = dealt.withColumn("at", at)
-    mine = dealt.where("role = 'm'").select(F.col("list").alias("list"), F.col("fp").alias("fp"), F.col("code").alias("code"), F.col("slack").alias("slack"), F.col("at").alias("mb"), F.explode(F.expr("sequence(cast(0 as bigint), cast(qb as bigint) - 1)")).alias("qb"))
-    asked = dealt.where("role = 'q'").select(F.col("list").alias("list"), F.col("fp").alias("fp"), F.explode(F.expr("sequence(cast(0 as bigint), cast(mb as bigint) - 1)")).alias("mb"), F.col("at").alias("qb"))
-    mine, asked = mine.toDF("list_", "fp", "code", "slack", "mb_", "qb_"), asked.toDF("list", "fp", "mb", "qb")
-    found = mine.groupBy("list_", "mb_", "qb_").cogroup(asked.groupBy("list", "mb", "qb")).applyInArrow(_compare(model, cosine), "a binary, b binary")
-    return found.distinct()
+    mine = dealt.where("role = 'm'").select(F.col("list").alias("list_"), "fp", "unit", "times", "code", "slack", "visits", F.col("at").alias("mb_"), F.explode(F.expr("sequence(cast(0 as bigint), cast(qb as bigint) - 1)")).alias("qb_"))
+    asked = dealt.where("role = 'q'").select("list", "fp", "unit", "times", "home", F.explode(F.expr("sequence(cast(0 as bigint), cast(mb as bigint) - 1)")).alias("mb_"), F.col("at").alias("qb_"))
+    mine, asked = mine.toDF(*mine.columns), asked.toDF(*asked.columns[:-2], "mb", "qb")  # columns of their own on either side
+    found = mine.groupBy("list_", "mb_", "qb_").cogroup(asked.groupBy("list", "mb", "qb")).applyInArrow(_compare(model, cosine), "a string, b string, n long")
+    return found
