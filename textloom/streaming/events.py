@@ -19,7 +19,7 @@ def counters(events: DataFrame, name: str, checkpoint: str):
 
 def windowed(events: DataFrame, every: str = "10 minutes", late: str = "30 minutes") -> DataFrame:
     """Events and their values for each window and type; rows later than `late` no longer count."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", every), "event_type").agg(F.count(F.lit(1)).alias("events"), F.sum("value").alias("total"))
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", every), "event_type").agg(F.count(F.lit(1)).alias("events"), F.sum("value").alias("total"))
 
 
 def scored(docs: DataFrame, operator: str) -> DataFrame:
