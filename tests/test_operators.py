@@ -6,8 +6,8 @@ import os
 import duckdb
 import pytest
 
-from textloom.operators.analysis import OPERATORS
 from textloom.plans import registry
+from textloom.plans.registry import OPERATORS
 from textloom.sources.tables import media_format
 from textloom.streaming.events import counters, scored, windowed
 
@@ -102,3 +102,31 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("scores").count() == docs.count()
+
+
+def test_style_of_like_texts_and_others(spark):
+    plain_text = "I went home. The dog was there, and it ran to me. But we did not stay. She left early."
+    other = "Comprehensive organizational transformation necessitates multidimensional infrastructural considerations; implementation (notwithstanding constraints) demands accountability, governance, transparency, interoperability."
+    df = spark.createDataFrame([(1, plain_text, "en", "a"), (2, plain_text, "en", "b"), (3, other, "en", "b"), (4, None, "en", "a"), (5, "Hello there.", None, None)], "doc_id long, text string, lang string, source string")
+    found = {r.doc_id: r for r in registry.style.style_compare(df.where("doc_id <> 4")).collect()}
+    assert found[1].similarity == 1.0 and found[1].verdict == "same_author"
+    assert found[3].similarity < found[1].similarity and found[5].verdict == "unknown"
+    empty = OPERATORS["style_profile"].apply(df.where("doc_id = 4")).first()
+    assert set(empty[1:]) == {0}
+
+
+def test_voice_structure_and_discourse_of_scaffolded_text(spark):
+    ai = "First, the implementation of the measurement requires coordination. Second, the assessment is a commitment, enabling movement. Finally, the arrangement has following components: one, two. Not only the statement but also the treatment matters. In conclusion, the development continues."
+    me = "I walked home. We talked a bit. She laughed at me. They stopped by the shop. He smiled and I slept."
+    assert one(spark, "metric_voice", ai).voice > one(spark, "metric_voice", me).voice
+    assert one(spark, "metric_structure", ai).structure > one(spark, "metric_structure", me).structure
+    assert one(spark, "metric_discourse", ai).discourse == 0.55
+    paragraphs = "In recent years it grew.\n\nHowever, it fell.\n\nFurthermore, it rose.\n\nIn summary, it moved."
+    assert one(spark, "metric_discourse", paragraphs).discourse > 0.8
+
+
+def test_repetition_and_entropy_of_uniform_text(spark):
+    same = "The small brown rabbit jumps over fences. " * 8
+    varied = "Rain fell over Oslo. My uncle fixed bicycles. Seven ships left port. Nobody wanted soup. Clocks rang at dawn. Maps lie sometimes."
+    assert one(spark, "metric_semantic_rep", same).semantic_rep == 1.0 and one(spark, "metric_semantic_rep", varied).semantic_rep == 0.0
+    assert one(spark, "metric_entropy", same).entropy > one(spark, "metric_entropy", varied).entropy

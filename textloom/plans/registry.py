@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.operators import corpus, language
-from textloom.operators.analysis import OPERATORS
+from textloom.operators import analysis, corpus, language, style
 from textloom.sources.tables import table
 
+OPERATORS = analysis.OPERATORS | style.OPERATORS
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -36,6 +36,8 @@ for _name, _f, _tables, _sql in (
     ("marker_counts", corpus.marker_counts, ["documents"], corpus.marker_sql()),
     ("summary", language.summary, ["documents"], language.SUMMARY_SQL),
     ("role_profiles", corpus.similar_turns, ["conversations"], corpus.TURNS_SQL),
+    ("style_by_source", style.style_by_source, ["documents"], style.by_source_sql()),
+    ("style_compare", style.style_compare, ["documents"], style.compare_sql()),
 ):
     QUERIES[_name] = _over(_f, *_tables)
     ORACLE_SQL[_name] = _sql
