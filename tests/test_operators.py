@@ -130,3 +130,16 @@ def test_repetition_and_entropy_of_uniform_text(spark):
     varied = "Rain fell over Oslo. My uncle fixed bicycles. Seven ships left port. Nobody wanted soup. Clocks rang at dawn. Maps lie sometimes."
     assert one(spark, "metric_semantic_rep", same).semantic_rep == 1.0 and one(spark, "metric_semantic_rep", varied).semantic_rep == 0.0
     assert one(spark, "metric_entropy", same).entropy > one(spark, "metric_entropy", varied).entropy
+
+
+def test_perplexity_equals_counting_and_falls_with_repetition(spark):
+    import math
+    from collections import Counter
+
+    varied = "Rain fell over Oslo. My uncle fixed bicycles. Seven ships left port; nobody wanted soup that cold day."
+    t = " ".join(varied.lower().split())
+    grams, contexts = Counter(t[i : i + 4] for i in range(len(t) - 3)), Counter(t[i : i + 3] for i in range(len(t) - 3))
+    bits = -sum(n * math.log2((n + 1) / (contexts[g[:3]] + len(set(t)))) for g, n in grams.items()) / grams.total()
+    r, same = one(spark, "perplexity", varied), one(spark, "perplexity", "the system works and the system works. " * 12)
+    assert abs(r.perplexity - 2**bits) < 1e-3
+    assert same.perplexity < r.perplexity and same.predictability > r.predictability and same.length_variation == 0

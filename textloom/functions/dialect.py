@@ -67,6 +67,10 @@ class Spark:
         """0 .. n - 1."""
         return f"(case when {n} > 0 then sequence(0, cast({n} as int) - 1) else cast(array() as array<int>) end)"
 
+    def part(self, a, k, n):
+        """n elements from place k, counted from 0."""
+        return f"slice({a}, cast({k} as int) + 1, {n})"
+
     def most(self, a):
         return f"array_max({a})"
 
@@ -146,6 +150,9 @@ class Duck(Spark):
     def seq(self, n):
         return f"range(0, CAST({n} AS BIGINT))"
 
+    def part(self, a, k, n):
+        return f"list_slice({a}, CAST({k} AS BIGINT) + 1, CAST({k} AS BIGINT) + {n})"
+
     def most(self, a):
         return f"list_max({a})"
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions.dialect import WS, Operator, _duck_numbers, indexed, rounded
-from textloom.operators.analysis import T4U, clamp, lengths, moments, sentences, squares, text, tokens, trimmed
+from textloom.operators.analysis import T4, T4U, clamp, lengths, moments, sentences, squares, text, tokens, trimmed
 
 WORD = r"\p{L}\p{N}_"
 EDGE, END = rf"(?:^|[^{WORD}])", rf"(?:[^{WORD}]|$)"
@@ -260,7 +260,35 @@ def _entropy(d):
     ]
 
 
+def _perplexity(d):
+    """How well a text's own character 4-grams, with one added to each count, foretell it; and what its words repeat.
+
+    Logarithms of grams and of their contexts are summed apart: a gram's context count is shared by all grams after it."""
+    parted = lambda x: f"trim({d.replace(f'lower({x})', f'{WS}+', ' ')})"
+    steps = lambda x, *marks: "case " + " ".join(f"when {x} < {at} then {points}D" for at, points in marks) + " else 0D end"
+    logs = lambda a, more: d.total(d.map(a, "x", f"x * ln(1D * x + {more})"))
+    return [
+        text(d), {"c": d.extract(parted("t"), "(?s)."), "w": d.extract("lower(t)", T4)},
+        {"g": d.grams("c", 4)}, {"ctx": d.map("g", "x", "substring(x, 1, 5)"), "pairs": d.grams("w", 2)},
+        *runs(d, "gf", "g"), *runs(d, "cf", "ctx"), *runs(d, "wf", "w"),
+        {"v": f"1D * {d.size(d.uniq('c'))}", "n": f"1D * {d.size('w')}", "ng": f"1D * {d.size('g')}", "len": d.keep(d.map(sentences(d, "t"), "x", d.count("lower(x)", T4)), "x", "x > 0")},
+        {
+            "cpp": f"case when {d.size('c')} < 5 then 0D else pow(2D, ({logs('cf', 'v')} - {logs('gf', '1D')}) / ng / ln(2D)) end",
+            "hw": bits(d, "wf", "n"), "again": f"case when n < 3 then 0D else 1D - 1D * {d.size(d.uniq('pairs'))} / {d.size('pairs')} end",
+            "ttr": f"case when n < 100 then 1D * {d.size('wf')} / greatest(n, 1D) else {d.total(d.map(d.seq(d.integer_part(d.size('w'), 100)), 'i_', f'{d.size(d.uniq(d.part("w", "i_ * 100", 100)))} / 100D'))} / {d.integer_part(d.size('w'), 100)} end",
+            "hapax": f"1D * {d.size(d.keep('wf', 'x', 'x = 1'))} / greatest(1D, 1D * {d.size('wf')})",
+        },
+        moments(d, "len"),
+        {"points": f"case when cpp > 0 then {steps('cpp', (4, 25), (7, 15), (12, 5))} else 0D end + {steps('hw', (5, 20), (7, 10), (8, 5))} + 25D * again + {steps('ttr', (0.4, 15), (0.55, 8), (0.65, 3))} + {steps('hapax', (0.4, 15), (0.55, 8), (0.65, 3))}"},
+        {
+            "perplexity": f"case when n = 0 then 0D else {rounded('cpp', 4)} end", "predictability": f"case when n < 10 then 0D else {rounded(clamp('points / 100D'), 4)} end",
+            "length_variation": f"case when n_ >= 2 and mean_ > 0 then {rounded(f'sqrt({squares(d, "len")} / n_) / mean_', 4)} else 0D end",
+        },
+    ]
+
+
 OPERATORS = {
+    "perplexity": Operator(_perplexity, "perplexity predictability length_variation".split(), extra=["text"]),
     "style_profile": Operator(_style, [*FEATURES, "sample_words", "sample_sentences"], extra=["text", "lang"]),
     "metric_voice": Operator(_voice, ["voice"], extra=["text"]),
     "metric_structure": Operator(_structure, ["structure"], extra=["text"]),
