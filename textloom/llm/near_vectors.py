@@ -106,20 +106,19 @@ def _place(model, probes: int):
     def run(batches):
         q = model.value
         for batch in batches:
-            fps, units, times = (c.to_pylist() for c in batch.columns)
-            if not fps:
-                continue
-            x = np.frombuffer(b"".join(units), np.float64).reshape(len(fps), -1)
-            near = _nearest(x, q.coarse, probes)
-            codes, lost = q.encode(x - q.coarse[near[:, 0]])
-            out = []
-            for k, fp in enumerate(fps):
-                home = int(near[k, 0])
-                out.append(("m", home, fp, units[k], times[k], home, codes[k].tobytes(), float(lost[k]), near[k].astype(np.int32).tobytes()))
-                out.extend(("q", at, fp, units[k], times[k], home, None, None, None) for at in near[k].tolist())
-            kinds = (pa.string(), pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.float64(), pa.binary())
-            columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays(columns, names=["role", "list", "fp", "unit", "times", "home", "code", "slack", "visits"])
+            for a in range(0, batch.num_rows, 512):  # a row becomes as many as it visits lists
+                fps, units, times = (c.to_pylist() for c in batch.slice(a, 512).columns)
+                x = np.frombuffer(b"".join(units), np.float64).reshape(len(fps), -1)
+                near = _nearest(x, q.coarse, probes)
+                codes, lost = q.encode(x - q.coarse[near[:, 0]])
+                out = []
+                for k, fp in enumerate(fps):
+                    home = int(near[k, 0])
+                    out.append(("m", home, fp, units[k], times[k], home, codes[k].tobytes(), float(lost[k]), near[k].astype(np.int32).tobytes()))
+                    out.extend(("q", at, fp, units[k], times[k], home, None, None, None) for at in near[k].tolist())
+                kinds = (pa.string(), pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.float64(), pa.binary())
+                columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, names=["role", "list", "fp", "unit", "times", "home", "code", "slack", "visits"])
 
     return run
 
