@@ -237,6 +237,15 @@ def test_decontamination(spark):
     assert decontaminate.contamination(docs, bench.where("false")).count() == 0
 
 
+def test_an_item_in_many_documents_is_still_found_where_edited(spark):
+    item = sentence(random.Random(17), 30)
+    edited = item.split()
+    edited[7] = edited[20] = "edited"  # breaks eight 4-grams, which 1001 exact copies make the rarest
+    docs = spark.createDataFrame([*((k, item) for k in range(1001)), (5000, " ".join(edited))], "doc_id long, text string")
+    got = decontaminate.contamination(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert {r.doc_id for r in got.collect()} == {*range(1001), 5000}
+
+
 def test_surrogates(spark):
     rows = [
         (1, "Mail bob.x@mail7.example.com or Bob.X@mail7.example.com, 97.51.17.173, +1 (017) 555-7713, 4929348385146306 and 4929-3483-8514-6306."),

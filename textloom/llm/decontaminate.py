@@ -1,16 +1,15 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-The word n-grams of the test items are the only candidates for seeds; one pass counts in how many documents each lies.
-Each item keeps as seeds those of its n-grams that are rare, and its rarest ones in any case. A second pass finds seeds in
-documents, and around them aligns the item with the passage by local alignment of words: matches score, substitutions
-and gaps cost, so edited and paraphrased copies still align over most of the item. Both passes take the items in blocks of
-bounded size, so what is broadcast does not grow with the benchmark.
+All word n-grams of a test item are seeds, however common. One pass finds them in documents, sets aside what by the counts
+of its seeds and words cannot reach the threshold, and aligns the item with the passages left by local alignment of words:
+matches score, substitutions and gaps cost, so edited and paraphrased copies still align over most of the item. The pass
+takes the items in blocks of bounded size, so what is broadcast does not grow with the benchmark.
 """
 
 from __future__ import annotations
 
+import math
 import re
-from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -26,22 +25,42 @@ def plain_words(text: str | None) -> list[bytes]:
     return _WORD.findall(text.lower().encode("utf-8", "surrogatepass")) if text else []
 
 
+#: Fixed value: most starts of passages aligned at once; bounds memory only.
+STRETCH = 4096
+
+
 class Items:
-    """One block of test items: numbered words, and the n-grams that may be seeds."""
-
-    def __init__(self, items: list[tuple[int, str]], n: int):
-        self.n, self.ids, self.words = n, [i for i, _ in items], [plain_words(t) for _, t in items]
-        self.number = {w: k for k, w in enumerate(sorted({w for ws in self.words for w in ws}))}
-        self.coded = [np.array([self.number[w] for w in ws], np.int64) for ws in self.words]
-        places = defaultdict(list)
-        for k, ws in enumerate(self.coded):
-            for at, g in enumerate(self.grams(ws).tolist()):
-                places[g].append((k, at))
-        self.seeds, self.places = np.array(sorted(places), np.int64), places
-
-    def grams(self, ws: np.ndarray) -> np.ndarray:
-        """Codes of n-grams, -1 where a word is in no item. An item with fewer words is one gram of what it has."""
-        n = self.n
+    """One block of test items: numbered words, and all n-grams of each item as seeds.
+
+    With a match worth 2 and a miss or gap -1, an alignment of m matches in r runs scores at most 2m - (r - 1), and all
+    of an item's words score twice their number. So one that reaches `threshold` has at least that share of the words,
+    at most `slack` misses and gaps, and a least number of seeds for its m; what fails these bounds needs no alignment."""
+
+    def __init__(self, items: list[tuple[int, str]], n: int, threshold: float):
+        self.ids, words = [i for i, _ in items], [plain_words(t) for _, t in items]
+        self.number = {w: k for k, w in enumerate(sorted({w for ws in words for w in ws}))}
+        self.coded = [np.array([self.number[w] for w in ws], np.int64) for ws in words]
+        self.least = [threshold * len(ws) for ws in words]
+        self.slack = [int(2 * (len(ws) - x) + 1e-9) for ws, x in zip(words, self.least, strict=True)]
+        self.seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}  # by length: grams, where their owners start, owners
+        self.need = np.ones(len(items), np.int64)
+        lengths = [n] * len(items)
+        for g in sorted(set(lengths)):
+            own = [k for k, x in enumerate(lengths) if x == g]
+            grams = [self.grams(self.coded[k], g) for k in own]
+            owner, code = np.repeat(own, [len(x) for x in grams]), np.concatenate(grams)
+            order = np.argsort(code, kind="stable")
+            seeds, start = np.unique(code[order], return_index=True)
+            self.seeds[g] = seeds, np.append(start, len(code)), owner[order]
+            for k in own:
+                self.need[k] = max(1, math.ceil(min(self.fewest(k, g, len(self.coded[k])), self.fewest(k, g, self.least[k])) - 1e-9))
+
+    def fewest(self, k: int, n: int, m):
+        """Seeds in an accepted alignment of item k with m matches, at least: m less n - 1 for each run."""
+        return m - (n - 1) * (2 * m - 2 * self.least[k] + 1)
+
+    def grams(self, ws: np.ndarray, n: int) -> np.ndarray:
+        """Codes of n-grams, -1 where a word is in no item."""
         if len(ws) < n:
             return np.empty(0, np.int64)
         m, base = len(ws) - n + 1, np.int64(len(self.number) + 1)
@@ -56,21 +75,39 @@ class Items:
         get = self.number.get
         return np.fromiter((get(w, -1) for w in ws), np.int64, len(ws))
 
-    def hits(self, ws: np.ndarray) -> np.ndarray:
-        """Places of n-grams that are seeds."""
-        g = self.grams(ws)
-        if not len(g) or not len(self.seeds):
-            return np.empty(0, np.int64)
-        return np.flatnonzero(self.seeds[np.minimum(np.searchsorted(self.seeds, g), len(self.seeds) - 1)] == g)
-
-    def keep_rare(self, df: dict[int, int], rare: int, least: int) -> None:
-        """Leave, for each item, its n-grams in at most `rare` documents, and its `least` rarest in any case."""
-        kept = set()
-        for ws in self.coded:
-            own = sorted(set(self.grams(ws).tolist()), key=lambda g: (df.get(g, 0), g))
-            kept.update(g for k, g in enumerate(own) if k < least or df.get(g, 0) <= rare)
-        self.seeds = np.array(sorted(kept), np.int64)
-        self.places = {g: self.places[g] for g in kept}
+    def candidates(self, ws: np.ndarray):
+        """Items that may align, with the length of their seeds and the places of these."""
+        for n, (seeds, start, owner) in self.seeds.items():
+            g = self.grams(ws, n)
+            if not len(g) or not len(seeds):
+                continue
+            at = np.minimum(np.searchsorted(seeds, g), len(seeds) - 1)
+            places = np.flatnonzero(seeds[at] == g)
+            at = at[places]
+            met = np.unique(at)
+            count = start[met + 1] - start[met]
+            rows = np.repeat(start[met] - np.cumsum(count) + count, count) + np.arange(count.sum())
+            enough = np.flatnonzero(np.bincount(owner[rows], minlength=len(self.ids)) >= self.need)
+            for k in enough.tolist():
+                own = places[np.isin(g[places], self.grams(self.coded[k], n))]
+                within = np.searchsorted(own, own + len(self.coded[k]) + self.slack[k]) - np.arange(len(own))
+                if within.max() >= self.need[k]:
+                    yield k, n, own
+
+    def passages(self, ws: np.ndarray, k: int, n: int, places: np.ndarray):
+        """Stretches of the text, start and end, that hold every alignment of item k to be accepted: these start at one of
+        its words and are no longer than its words and slack."""
+        size, least = len(self.coded[k]), self.least[k]
+        reach = size + self.slack[k]
+        word = np.isin(ws, self.coded[k])
+        before = np.append(0, np.cumsum(word))
+        first = np.flatnonzero(word)
+        m = np.minimum(before[np.minimum(first + reach, len(ws))] - before[first], size)
+        seeds = np.searchsorted(places, first + reach - n + 1) - np.searchsorted(places, first)
+        first = first[(m >= least - 1e-9) & (seeds >= np.maximum(1, self.fewest(k, n, m) - 1e-9))]
+        for part in np.split(first, np.flatnonzero(np.diff(first) > reach) + 1) if len(first) else ():
+            for low in range(int(part[0]), int(part[-1]) + 1, STRETCH):
+                yield low, min(len(ws), min(low + STRETCH - 1, int(part[-1])) + reach)
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
@@ -104,21 +141,6 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
     return best, j, end
 
 
-def _seed_counts(items):
-    """In how many documents of this task each candidate seed lies."""
-
-    def run(batches):
-        it, df = items.value, Counter()
-        for batch in batches:
-            for text in batch.column(0):
-                ws = it.code(plain_words(text.as_py()))
-                if len(at := it.hits(ws)):
-                    df.update(np.unique(it.grams(ws)[at]).tolist())
-        yield pa.RecordBatch.from_arrays([pa.array(list(df), pa.int64()), pa.array(list(df.values()), pa.int64())], names=["gram", "n"])
-
-    return run
-
-
 _FOUND = "doc_id long, row long, item_id long, similarity double, start long, end long"
 
 
@@ -131,24 +153,11 @@ def _find(items, threshold: float):
             out = []
             for i, row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 ws = it.code(plain_words(text.as_py()))
-                at = it.hits(ws)
-                if not len(at):
-                    continue
-                spans = defaultdict(set)
-                for place, g in zip(at.tolist(), it.grams(ws)[at].tolist(), strict=True):
-                    for k, own in it.places[g]:
-                        spans[k].add(place - own)
-                for k, begins in spans.items():
+                for k, n, places in it.candidates(ws):
                     item, best = it.coded[k], (0.0, 0, 0)
-                    size = len(item)
-                    slack, begins, last = size // 3 + 2, sorted(begins), None
-                    for b in begins:
-                        if last is not None and b - last <= slack // 2:
-                            continue
-                        last = b
-                        low, high = max(0, b - slack), min(len(ws), b + size + 2 * slack)
+                    for low, high in it.passages(ws, k, n, places):
                         score, s, e = align(item, ws[low:high])
-                        best = max(best, (score / (MATCH * size), low + s, low + e))
+                        best = max(best, (score / (MATCH * len(item)), low + s, low + e))
                     if best[0] >= threshold:
                         out.append((i, row, it.ids[k], *best))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
@@ -157,7 +166,7 @@ def _find(items, threshold: float):
     return run
 
 
-def blocks_of(benchmark: DataFrame, n: int, block_bytes: int, item_col: str = "item_id", text_col: str = "text") -> list[Items]:
+def blocks_of(benchmark: DataFrame, n: int, threshold: float, block_bytes: int, item_col: str = "item_id", text_col: str = "text") -> list[Items]:
     """The stated query set, in blocks of bounded size: each is collected, used and dropped on its own. Items with fewer
     than n words, and null ones, have no seed and match nothing."""
     own = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text")).where("item_id is not null and text is not null").distinct()
@@ -166,11 +175,11 @@ def blocks_of(benchmark: DataFrame, n: int, block_bytes: int, item_col: str = "i
     out = []
     for k in range(count):
         rows = own.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == k).collect()
-        out.append(Items(sorted((r["item_id"], r["text"]) for r in rows), n))
+        out.append(Items(sorted((r["item_id"], r["text"]) for r in rows), n, threshold))
     return out
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 4, rare: int = 1000, least: int = 8, threshold: float = 0.6, block_bytes: int = 4 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 4, threshold: float = 0.6, block_bytes: int = 4 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document and test item whose alignment reaches `threshold` of the item's own score: doc_id, row,
     item_id, similarity (0 to 1), start and end in words of the passage (end exclusive), the best passage of the pair.
 
@@ -179,10 +188,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 4, rare: int =
     sc = docs.sparkSession.sparkContext
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("row"), F.col(text_col).cast("string").alias("text"))
     found = None
-    for items in blocks_of(benchmark, n, block_bytes):
-        all_grams = sc.broadcast(items)
-        counts = texts.select("text").mapInArrow(_seed_counts(all_grams), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-        items.keep_rare({r["gram"]: r["n"] for r in counts.collect()}, rare, least)  # at most the grams of one block
+    for items in blocks_of(benchmark, n, threshold, block_bytes):
         part = texts.mapInArrow(_find(sc.broadcast(items), threshold), _FOUND)
         found = part if found is None else found.unionByName(part)
     return found if found is not None else docs.sparkSession.createDataFrame([], _FOUND)
