@@ -324,3 +324,25 @@ def test_toxicity(spark):
     assert got[900].predicted == 1 and got[901].score == got[902].score < 0.5
     spoken, quoted = "kaba vileword loce miba", 'she said the word "vileword" loce miba'
     assert model.features(spoken)[0] > 0 and model.features(quoted)[0] == 0 < model.features(quoted)[1]
+
+
+def test_an_ordinary_word_near_a_term_does_not_veto_its_misspellings(spark):
+    rng = random.Random(19)
+    rows = []
+    for k in range(400):
+        w = sentence(rng, 30).split()
+        if k % 4 == 0:
+            w[10] = w[20] = "vileword"
+            if k % 40 == 0:
+                w[15] = "uglyterm"  # in 10 of 100 toxic texts
+        else:
+            w[12] = "vilewor"
+        rows.append((k, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1, int(k % 4 == 0)) for k in range(400)], "doc_id long, quality int, toxic int")
+    model = toxicity.learn_toxicity(docs, labels, remainder("doc_id", 1) == 0, edit_share=0.3)
+    hit = lambda word: model.features(f"kaba {word} loce miba")[0]
+    assert hit("vilewor") == 0
+    assert hit("vileword") > hit("vilewword") > 0 and hit("vilewerd") > 0
+    assert hit("uglyterm") > hit("uglytterm") > 0
+    assert hit("vilewword") / hit("vileword") > hit("uglytterm") / hit("uglyterm")

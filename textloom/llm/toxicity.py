@@ -27,6 +27,8 @@ _OPEN, _CLOSE = set("\"“”„«»‘'"), set("\"“”„«»’'")
 #: Words that report speech or negate, in the four languages of the tables.
 REPORTS = frozenset("said says wrote writes called quoted quote quotes cited according reported claims claimed word words term slur sagte schrieb nannte zitat wort dit écrit appelé cite mot dijo escribió llamó cita palabra not never nicht nie pas jamais no nunca".split())
 WINDOW = 6
+#: What a term counts where it is met with edits, and a rare one.
+EDITED, EDITED_RARE = 0.8, 0.4
 
 
 def plain(token: str) -> str:
@@ -38,9 +40,8 @@ def plain(token: str) -> str:
 class LexiconAutomaton:
     """Words within allowed edits of a lexicon term; deterministic states are made when first met and remembered."""
 
-    def __init__(self, terms: dict[str, float], limit: int = 200_000, edits: dict[str, int] | None = None):
-        """edits: for some terms, fewer edits than their length allows."""
-        self.terms, self.limit, edits = terms, limit, edits or {}
+    def __init__(self, terms: dict[str, float], limit: int = 200_000):
+        self.terms, self.limit = terms, limit
         self.child: list[dict[str, int]] = [{}]
         self.ends: list[tuple[str, int] | None] = [None]
         self.deep = [0]
@@ -53,7 +54,7 @@ class LexiconAutomaton:
                     self.ends.append(None)
                     self.deep.append(0)
                 at = self.child[at][c]
-            self.ends[at] = (term, min(self.allowed(term), edits.get(term, 9)))
+            self.ends[at] = (term, self.allowed(term))
         for at in range(len(self.child) - 1, -1, -1):  # the most edits that any term below allows
             below = [self.deep[c] for c in self.child[at].values()]
             self.deep[at] = max([*below, self.ends[at][1] if self.ends[at] else 0])
@@ -116,12 +117,14 @@ class LexiconAutomaton:
 
 @dataclass
 class Toxicity:
-    """terms: log-odds of lexicon terms; weights and bias of the logistic model over `features`."""
+    """terms: log-odds of lexicon terms; weights and bias of the logistic model over `features`; rare: terms whose edits
+    count for less; ordinary: words near a term that are known as words of their own and count only if they are a term."""
 
     terms: dict[str, float]
     weights: np.ndarray = field(default_factory=lambda: np.zeros(4))
     bias: float = -2.0
-    edits: dict[str, int] = field(default_factory=dict)
+    rare: frozenset[str] = frozenset()
+    ordinary: frozenset[str] = frozenset()
     limit: int = 400_000
 
     def __post_init__(self):
@@ -131,10 +134,13 @@ class Toxicity:
         return self.__dict__ | {"automaton": None, "known": {}}
 
     def _look(self, token: str) -> float:
-        """0 for most tokens; the term's weight if it is met exactly, negative if it is met with edits."""
+        """0 for most tokens; the term's weight if it is met exactly, less and negative if it is met with edits."""
         word = plain(token)
         hit = self.automaton.find(word) if word else None
-        value = 0.0 if hit is None else self.terms[hit[0]] * (1 if not hit[1] else -1)
+        if hit is None or (hit[1] and word in self.ordinary):
+            value = 0.0
+        else:
+            value = self.terms[hit[0]] * (1 if not hit[1] else -EDITED_RARE if hit[0] in self.rare else -EDITED)
         if len(self.known) >= self.limit:
             self.known.clear()
         self.known[token] = value
@@ -143,7 +149,7 @@ class Toxicity:
     def features(self, text: str | None) -> np.ndarray:
         """Sums over hits: in plain use (edited ones for less), quoted or reported, near other hits; and plain hits' share."""
         if self.automaton is None:
-            self.automaton = LexiconAutomaton(self.terms, edits=self.edits)
+            self.automaton = LexiconAutomaton(self.terms)
         f = np.zeros(4)
         if not text:
             return f
@@ -151,7 +157,7 @@ class Toxicity:
         values = [look(t) if (v := get(t)) is None else v for t in tokens]
         hits, plain_hits = [k for k, v in enumerate(values) if v], 0
         for n, k in enumerate(hits):
-            v = values[k] if values[k] > 0 else -0.8 * values[k]
+            v = abs(values[k])
             if self._quoted(tokens, k):
                 f[1] += v
                 continue
@@ -187,17 +193,12 @@ def _term_counts(batches):
 
 
 def _edited(terms: dict[str, float]):
-    """Words of labelled texts -> the terms that they are edits of, with their counts."""
+    """Words of labelled texts that are edits of a term."""
 
     def run(batches):
-        a, total = LexiconAutomaton(terms), {}
+        a = LexiconAutomaton(terms)
         for batch in batches:
-            for word, clean, toxic in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                if (hit := a.find(word)) and hit[1]:
-                    n = total.setdefault(hit, [0, 0])
-                    n[0], n[1] = n[0] + clean, n[1] + toxic
-        rows = [(t, e, *n) for (t, e), n in total.items()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], x) for k, x in enumerate((pa.string(), pa.int32(), pa.int64(), pa.int64()))], names=["term", "edits", "clean", "toxic"])
+            yield pa.RecordBatch.from_arrays([pa.array([w for w in batch.column(0).to_pylist() if (hit := a.find(w)) and hit[1]], pa.string())], names=["word"])
 
     return run
 
@@ -218,9 +219,9 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60, ridge: float = 0.0
 def learn_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_rows: int = 20_000, most_terms: int = 3_000, least_texts: int = 4, least_odds: float = 2.0, edit_share: float = 0.05) -> Toxicity:
     """Fit on a sample of labelled rows for which learn holds: about label_rows, chosen by a hash of the id, which bounds
     what is broadcast and collected. The lexicon has at most most_terms words, each in at least least_texts toxic texts
-    with log-odds of at least least_odds, the strongest first. Terms in fewer than edit_share of the toxic texts are matched
-    exactly: chance resemblance to a rare word says little. A term whose edits are met in texts not labelled toxic, with
-    less than those odds, allows fewer of them."""
+    with log-odds of at least least_odds, the strongest first. Edits of terms in fewer than edit_share of the toxic texts
+    count for less: chance resemblance to a rare word says less. A word near a term that is met in texts not labelled toxic,
+    with less than those odds, is no edit of it; the term's other edits stay."""
     spark = docs.sparkSession
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null").where(learn).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     count = known.count()
@@ -234,11 +235,9 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, id_col: st
     terms = counts.where(f"toxic >= {least_texts}").withColumn("odds", odds).where(f"odds >= {least_odds}")
     rows = terms.orderBy(F.desc(F.col("odds") * F.sqrt("toxic")), "word").limit(most_terms).collect()
     found = {r["word"]: float(r["odds"]) for r in rows}
-    edits = {r["word"]: 0 for r in rows if r["toxic"] < edit_share * bad}
-    for r in counts.mapInArrow(_edited(found), "term string, edits int, clean long, toxic long").groupBy("term", "edits").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).collect():  # two rows for each term at most
-        if r["clean"] and math.log((r["toxic"] + 0.5) / (bad + 1)) - math.log((r["clean"] + 0.5) / (good + 1)) < least_odds:
-            edits[r["term"]] = min(edits.get(r["term"], 9), r["edits"] - 1)
-    model = Toxicity(found, edits=edits)
+    rare = frozenset(r["word"] for r in rows if r["toxic"] < edit_share * bad)
+    ordinary = counts.where("clean > 0").withColumn("odds", odds).where(f"odds < {least_odds}").select("word").mapInArrow(_edited(found), "word string")
+    model = Toxicity(found, rare=rare, ordinary=frozenset(r["word"] for r in ordinary.collect()))  # at most the words of the sample
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches):
