@@ -230,10 +230,15 @@ def injected_host(page_id: str, host: str) -> str:
     return f"case when {page_id} % 3 = 0 then element_at(array({hosts}), cast(1 + ({page_id} div 3) % {len(HOST_RULES)} as int)) else {host} end"
 
 
+def injected_pages(pages: DataFrame) -> DataFrame:
+    """Fixture of the registered queries, whose SQL has it: pages with the URL of a builder's host for every third one."""
+    return pages.withColumn("url", F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("https://"), F.expr(injected_host("page_id", "''")))).otherwise(F.col("url")))
+
+
 def site_platform(pages: DataFrame) -> DataFrame:
     """Host suffixes at dots against the rules: the first rule that holds. A join on the suffix, not a scan of rules."""
     rules = F.broadcast(pages.sparkSession.createDataFrame([(s, p, k, n, KIND_BASE[k]) for n, (s, p, k) in enumerate(HOST_RULES)], "suffix string, platform string, kind string, ord int, base double"))
-    p = pages.select("page_id", _host(F.col("url")).alias("h")).select("page_id", F.expr(injected_host("page_id", "h")).alias("host"))
+    p = pages.select("page_id", _host(F.col("url")).alias("host"))
     parts = F.split("host", r"\.")
     suffix = p.select("page_id", "host", F.explode(F.expr(r"transform(sequence(1, size(split(host, '\\.'))), k -> array_join(slice(split(host, '\\.'), k, size(split(host, '\\.'))), '.'))")).alias("suffix"))
     hit = suffix.join(rules, "suffix").groupBy("page_id").agg(F.min(F.struct("ord", "platform", "kind", "base")).alias("x"))
@@ -286,9 +291,15 @@ MARKERS = {
 _PREFIX = ["", "However, it is crucial. ", "Furthermore, we leverage robust tools in order to delve. ", "Moreover, however, a wide range of seamless and holistic options plays a crucial role. "]
 
 
+def injected_markers(docs: DataFrame) -> DataFrame:
+    """Fixture of the registered query, whose SQL has it: texts with phrases that the id chooses before them."""
+    prefix = F.element_at(F.array(*[F.lit(p) for p in _PREFIX]), (F.col("doc_id") % 4 + 1).cast("int"))
+    return docs.withColumn("text", F.concat(prefix, F.coalesce("text", F.lit(""))))
+
+
 def marker_counts(docs: DataFrame) -> DataFrame:
     """Occurrences of each phrase, each counted on its own, weighted by kind and set against the words of the text."""
-    t = F.lower(F.concat(F.element_at(F.array(*[F.lit(p) for p in _PREFIX]), (F.col("doc_id") % 4 + 1).cast("int")), F.coalesce("text", F.lit(""))))
+    t = F.lower(F.coalesce("text", F.lit("")))
     d = docs.select("doc_id", t.alias("t")).withColumn("words", F.expr(_D.count("t", r"[^\x09-\x0D\x20]+")))
     per = {k: F.expr(f"aggregate(transform({_D.words(ms)}, m -> (length(t) - length(replace(t, m, ''))) div length(m)), 0L, (a, b) -> a + b)") for k, (_, ms) in MARKERS.items()}
     d = d.withColumns({k: c for k, c in per.items()})

@@ -31,9 +31,9 @@ for _name, _f, _tables, _sql in (
     ("latest_feedback", corpus.latest_feedback, ["events"], corpus.FEEDBACK_SQL),
     ("metric_separation", corpus.metric_separation, ["documents", "labels"], corpus.separation_sql()),
     ("page_blocks", corpus.page_blocks, ["pages"], corpus.BLOCKS_SQL),
-    ("site_platform", corpus.site_platform, ["pages"], corpus.site_sql()),
-    ("scan_page", corpus.scan_page, ["pages"], corpus.scan_sql()),
-    ("marker_counts", corpus.marker_counts, ["documents"], corpus.marker_sql()),
+    ("site_platform", lambda pages: corpus.site_platform(corpus.injected_pages(pages)), ["pages"], corpus.site_sql()),
+    ("scan_page", lambda pages: corpus.scan_page(corpus.injected_pages(pages)), ["pages"], corpus.scan_sql()),
+    ("marker_counts", lambda docs: corpus.marker_counts(corpus.injected_markers(docs)), ["documents"], corpus.marker_sql()),
     ("summary", language.summary, ["documents"], language.SUMMARY_SQL),
     ("role_profiles", corpus.similar_turns, ["conversations"], corpus.TURNS_SQL),
     ("style_by_source", style.style_by_source, ["documents"], style.by_source_sql()),
