@@ -152,3 +152,20 @@ def test_operators_look_at_the_columns_given(spark):
     assert len({r.platform for r in corpus.scan_page(pages).collect()}) == 1
     docs = spark.createDataFrame([(k, "nothing of note") for k in range(4)], "doc_id long, text string")
     assert all(r[k] == 0 for r in corpus.marker_counts(docs).collect() for k in corpus.MARKERS)
+
+
+def test_clean_text_has_no_marks_and_marked_text_has(spark):
+    plain_text = "Plain clean text with no marks at all, and a second part."
+    marked = "A" + "​" * 3 + "B ‪ C" + " a  b" * 7
+    for k in range(1, 43):  # whatever the id
+        r = OPERATORS["watermark_hidden_characters"].apply(spark.createDataFrame([(k, plain_text)], "doc_id long, text string")) if k in (3, 15, 35, 42) else None
+        if r is not None:
+            row = r.first()
+            assert (row.zero_width_count, row.format_count, row.types, row.confidence) == (0, 0, 0, 0.0)
+    r = one(spark, "watermark_hidden_characters", marked)
+    assert (r.zero_width_count, r.format_count, r.types) == (3, 1, 3) and r.multi_space > 5
+    folded = one(spark, "anti_evasion_fold", "cоmprehensive wоrds Привет мир")
+    assert folded.changed and not one(spark, "anti_evasion_fold", plain_text).changed
+    docs = spark.createDataFrame([(1, "However, it is crucial. Furthermore, we leverage robust tools."), (2, plain_text)], "doc_id long, text string")
+    got = {r.doc_id: r for r in corpus.marker_counts(docs).collect()}
+    assert got[1].connector == 2 and got[1].adjective == 2 and got[1].verb == 1 and got[2].density == 0

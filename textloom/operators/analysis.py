@@ -250,16 +250,9 @@ def _diversity(d):
     ]
 
 
-def dirty(d) -> dict:
-    """Text with hidden marks at places that the id decides, as clean tables have none."""
-    zw, bom = "​", "‪"
-    t = "coalesce(text, '')"
-    return {"t": f"case when doc_id % 3 = 0 then concat(replace(substring({t}, 1, 200), ' ', ' {zw}'), substring({t}, 201)) when doc_id % 5 = 0 then concat('{bom}', replace({t}, ' o', ' о')) when doc_id % 7 = 0 then replace({t}, ', ', ',  ') else {t} end"}
-
-
 def _hidden(d):
     return [
-        dirty(d),
+        text(d),
         {"zero_width_count": d.long(d.count("t", ZERO_WIDTH)), "a": d.replace("t", ZERO_WIDTH, "")},
         {"format_count": d.long(d.count("a", OTHER_FORMAT)), "b": d.replace("a", OTHER_FORMAT, "")},
         {"multi_space": d.long(d.count("b", r"[^\x09-\x0D\x20] {2,}[^\x09-\x0D\x20]"))},
@@ -275,7 +268,7 @@ def _folded(d):
     n = lambda p: d.count("x", p)
     fold = f"case when {n('[A-Za-z]')} > 0 and {n(f'[{frm}]')} > 0 and {n('[A-Za-z]')} >= {n(f'[{frm}]')} then translate(x, '{frm}', '{to}') else x end"
     return [
-        dirty(d), {"a": d.replace("t", INVISIBLE, "")}, {"w": d.map(d.split("a", " "), "x", fold)},
+        text(d), {"a": d.replace("t", INVISIBLE, "")}, {"w": d.map(d.split("a", " "), "x", fold)},
         {"folded": d.join("w", " ")},
         {"folded_md5": "md5(folded)", "changed": "folded <> t", "lang_sniff": f"case when {d.count('substring(t, 1, 4000)', '[Ѐ-ӿ]')} > {d.count('substring(t, 1, 4000)', '[A-Za-z]')} then case when {d.matches('substring(t, 1, 4000)', '[іїєґІЇЄҐ]')} then 'uk' else 'ru' end else 'en' end"},
     ]

@@ -224,25 +224,12 @@ def _host(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/:?#]*)", 1))
 
 
-def injected_host(page_id: str, host: str) -> str:
-    """SQL: a builder's host for every third page, as the tables have none."""
-    hosts = ", ".join(f"'site.{s}'" for s, _, _ in HOST_RULES)
-    return f"case when {page_id} % 3 = 0 then element_at(array({hosts}), cast(1 + ({page_id} div 3) % {len(HOST_RULES)} as int)) else {host} end"
-
-
-def injected_pages(pages: DataFrame) -> DataFrame:
-    """Fixture of the registered queries, whose SQL has it: pages with the URL of a builder's host for every third one."""
-    return pages.withColumn("url", F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("https://"), F.expr(injected_host("page_id", "''")))).otherwise(F.col("url")))
-
-
 def site_platform(pages: DataFrame) -> DataFrame:
     """Host suffixes at dots against the rules: the first rule that holds. A join on the suffix, not a scan of rules."""
     rules = F.broadcast(pages.sparkSession.createDataFrame([(s, p, k, n, KIND_BASE[k]) for n, (s, p, k) in enumerate(HOST_RULES)], "suffix string, platform string, kind string, ord int, base double"))
     p = pages.select("page_id", _host(F.col("url")).alias("host"))
-    parts = F.split("host", r"\.")
     suffix = p.select("page_id", "host", F.explode(F.expr(r"transform(sequence(1, size(split(host, '\\.'))), k -> array_join(slice(split(host, '\\.'), k, size(split(host, '\\.'))), '.'))")).alias("suffix"))
     hit = suffix.join(rules, "suffix").groupBy("page_id").agg(F.min(F.struct("ord", "platform", "kind", "base")).alias("x"))
-    del parts
     r = p.join(hit, "page_id", "left")
     base = F.coalesce("x.base", F.lit(0.06))
     return r.select("page_id", "host", F.coalesce("x.platform", F.lit("unknown")).alias("platform"), F.coalesce("x.kind", F.lit("none")).alias("kind"), base.alias("ai_built"), F.when(base >= 0.6, "ai").when(base >= 0.35, "mixed").otherwise("human").alias("verdict"))
@@ -250,10 +237,9 @@ def site_platform(pages: DataFrame) -> DataFrame:
 
 def site_sql() -> str:
     rules = ", ".join(f"('{s}', '{p}', '{k}', {n}, CAST({KIND_BASE[k]} AS DOUBLE))" for n, (s, p, k) in enumerate(HOST_RULES))
-    hosts = ", ".join(f"'site.{s}'" for s, _, _ in HOST_RULES)
     return f"""
 WITH rules(suffix, platform, kind, ord, base) AS (VALUES {rules}),
-p AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN ([{hosts}])[1 + (page_id // 3) % {len(HOST_RULES)}] ELSE lower(regexp_extract(coalesce(url, ''), '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/:?#]*)', 1)) END AS host FROM pages),
+p AS (SELECT page_id, lower(regexp_extract(coalesce(url, ''), '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/:?#]*)', 1)) AS host FROM pages),
 h AS (SELECT page_id, arg_min(rules, ord) AS x FROM p JOIN rules ON p.host = rules.suffix OR p.host LIKE '%.' || rules.suffix GROUP BY page_id)
 SELECT p.page_id, host, coalesce(x.platform, 'unknown') AS platform, coalesce(x.kind, 'none') AS kind, coalesce(x.base, 0.06) AS ai_built,
   CASE WHEN coalesce(x.base, 0.06) >= 0.6 THEN 'ai' WHEN coalesce(x.base, 0.06) >= 0.35 THEN 'mixed' ELSE 'human' END AS verdict
@@ -288,13 +274,6 @@ MARKERS = {
     "connector": (2.0, ["however", "furthermore", "moreover", "nevertheless", "additionally", "therefore", "thus", "in conclusion", "it is important to note"]),
     "phrase": (3.0, ["plays a crucial role", "in today's world", "a wide range of", "in order to", "first and foremost"]),
 }
-_PREFIX = ["", "However, it is crucial. ", "Furthermore, we leverage robust tools in order to delve. ", "Moreover, however, a wide range of seamless and holistic options plays a crucial role. "]
-
-
-def injected_markers(docs: DataFrame) -> DataFrame:
-    """Fixture of the registered query, whose SQL has it: texts with phrases that the id chooses before them."""
-    prefix = F.element_at(F.array(*[F.lit(p) for p in _PREFIX]), (F.col("doc_id") % 4 + 1).cast("int"))
-    return docs.withColumn("text", F.concat(prefix, F.coalesce("text", F.lit(""))))
 
 
 def marker_counts(docs: DataFrame) -> DataFrame:
@@ -310,10 +289,9 @@ def marker_counts(docs: DataFrame) -> DataFrame:
 def marker_sql() -> str:
     lists = {k: "[" + ", ".join("'" + m.replace("'", "''") + "'" for m in ms) + "]" for k, (_, ms) in MARKERS.items()}
     per = ", ".join(f"CAST(list_sum(list_transform({x}, lambda m: (length(t) - length(replace(t, m, ''))) // length(m))) AS BIGINT) AS {k}" for k, x in lists.items())
-    prefix = "[" + ", ".join(f"'{p}'" for p in _PREFIX) + "]"
     weighted = " + ".join(f"CAST({w} AS DOUBLE) * {k}" for k, (w, _) in MARKERS.items())
     return f"""
-WITH t AS (SELECT doc_id, lower(({prefix})[1 + doc_id % 4] || coalesce(text, '')) AS t FROM documents),
+WITH t AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents),
 c AS (SELECT doc_id, len(regexp_extract_all(t, '[^\\x09-\\x0D\\x20]+')) AS words, {per} FROM t)
 SELECT doc_id, {', '.join(MARKERS)}, floor(CASE WHEN words > 0 THEN ({weighted}) / words ELSE 0 END * 10000 + 0.5) / 10000 AS density FROM c
 """
