@@ -87,7 +87,6 @@ def test_packing_round_trip(docs, texts, empty):
     from tokenizers import Tokenizer
 
     tk = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
-    tk.encode_special_tokens = True
     rows = packing.pack(docs).collect()
     pieces, sequences = defaultdict(list), defaultdict(list)
     for r in rows:
@@ -112,28 +111,41 @@ def test_packing_round_trip(docs, texts, empty):
     assert packing.pack(empty).count() == 0
 
 
-def test_encoder_agrees_with_its_tokenizer_on_odd_spaces():
+def test_encoder_agrees_with_its_tokenizer():
     public = pytest.importorskip("public_tokenizers")
-    e = packing.Encoder(public.path("byte_bpe_50k.json"))
-    odd = ["a  b", " a b ", "a \n b\n\nc", "x y z", "it's  'tis <|endoftext|> ok", "", " ", "\n", "tab\t b", "日本 語 😀 x"]
-    want = [np.array(e.tk.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in odd]
+    from tokenizers import Tokenizer
+
+    path = public.path("byte_bpe_50k.json")
+    e, tk = packing.Encoder(path), Tokenizer.from_file(path)
+    rng = random.Random(23)
+    bits = ["a", " ", "  ", "\n", "\t", "it's", "'ll", "'LL", "x1", "12", "é", "ß", "日本", "😀", "\u00a0", "\u2003", "\u200b", "_", "--", "<|endoftext|>", "<|endoftext", "|>", "İ", "½", "\u0301", "Ω", "#", "\x00", "\r\n", "word", " the", "…"]
+    odd = ["a  b", " a b ", "a \n b\n\nc", "x y z", "it's  'tis <|endoftext|> ok", "", " ", "\n", "tab\t b", "日本 語 😀 x", "<|endoftext|>", "a <|endoftext|> b"]
+    odd += ["".join(rng.choice(bits) for _ in range(rng.randint(0, 24))) for _ in range(4000)]
+    want = [np.array(tk.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in odd]
     assert e.encode(odd) == want
+    assert 50256 in np.frombuffer(e.encode(["a <|endoftext|> b"])[0], "<u4")
 
 
-def test_plans_are_near_the_bound():
+def test_plans_use_each_piece_once_and_are_no_worse_than_best_fit():
     rng = np.random.default_rng(1)
-    for _ in range(5):
-        counts = np.zeros(64, np.int64)
-        for x in rng.integers(1, 64, 400):
-            counts[x] += 1
-        plan = packing.plan_packing(counts, 64)
-        used = np.zeros(64, np.int64)
+    for size, n in [(64, 400), (64, 40), (256, 1000), (1024, 2000), (64, 1), (64, 0)] * 3:
+        counts = np.bincount(np.minimum(rng.integers(1, size, n), rng.integers(1, size, n)), minlength=size)[:size]
+        plan = packing.plan_packing(counts, size)
+        used = np.zeros(size, np.int64)
         for lengths, times in plan:
-            assert sum(lengths) <= 64
+            assert sum(lengths) <= size
             for x in lengths:
                 used[x] += times
         assert (used == counts).all()
-        assert sum(k for _, k in plan) <= math.ceil((counts * np.arange(64)).sum() / 64) * 1.12 + 1
+        assert sum(k for _, k in plan) <= sum(k for _, k in packing._best_fit(counts.copy(), size))
+        if n >= 400:  # most sequences come from the complements, not from the residuals
+            assert sum(k for lengths, k in plan if sum(lengths) == size) > 0.5 * sum(k for _, k in plan)
+
+
+def test_complements_of_one_two_and_three_lengths():
+    for lengths in ((50, 14), (40, 14, 10), (30, 15, 12, 7)):
+        counts = np.bincount(lengths, minlength=64)[:64] * 5
+        assert packing.plan_packing(counts, 64) == [(lengths, 5)]
 
 
 def test_secrets_against_an_ordinary_engine(spark):

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -54,13 +54,14 @@ class Encoder:
     """ids of whole texts as little-endian uint32 bytes, by a byte-level BPE of `tokenizers`.
 
     Such a tokenizer never joins what a single space between two other characters parts, so the stretches between such
-    spaces are encoded once and remembered. A text with other white space next to a space is cut only where that holds."""
+    spaces are encoded once and remembered. A text with other white space next to a space is cut only where that holds; one
+    that spells out an added token of the file goes to the tokenizer as it is, which gives that token's own id."""
 
     def __init__(self, path: str, limit: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tk = Tokenizer.from_file(path)
-        self.tk.encode_special_tokens = True
+        self.added = [t.content for t in self.tk.get_added_tokens_decoder().values()]
         self.limit, self.known, self.first = limit, {}, {}
         vocab = self.tk.get_vocab(with_added_tokens=True)
         self.fast = _same_as_ranks(path)
@@ -88,6 +89,9 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         cut, seen = [], set()
         for text in texts:
+            if any(t in text for t in self.added):
+                cut.append(None)
+                continue
             parts = text.split(" ")
             if any(not p or p[0].isspace() or p[-1].isspace() for p in set(parts).difference(self.known)):
                 parts = _SINGLE_SPACE.split(text)
@@ -98,7 +102,10 @@ class Encoder:
             self.first.clear()
         self._learn([s for s in seen if s not in self.known])
         out = []
-        for parts in cut:
+        for text, parts in zip(texts, cut, strict=True):
+            if parts is None:
+                out.append(np.array(self.tk.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
+                continue
             head = self.first.get(parts[0])
             if head is None:
                 head = self.first[parts[0]] = self._ids(parts[0])
@@ -131,53 +138,53 @@ def _cut(path: str, end_id: int, seq_len: int):
     return run
 
 
-def _close_exactly(av: np.ndarray, size: int) -> list[tuple[tuple[int, ...], int]]:
-    """Combinations of up to four lengths that fill a sequence, longest first, as often as the counts allow. Lowers av."""
-    out = []
+class Closer:
+    """Combinations of lengths that fill a sequence exactly, found by the complement of the longest of them.
 
-    def use(*lengths: int) -> None:
-        need = defaultdict(int)
-        for x in lengths:
-            need[x] += 1
-        times = min(int(av[x]) // k for x, k in need.items())
+    What is available is indexed by length, and its pairs by their sum: sum -> larger members. The gap that a longest length
+    leaves is looked up as it is (single), among the sums of pairs, and, less one further length, among them again (triple).
+    Members as equal as can be come first: short lengths fit nearly everywhere and are worth keeping."""
+
+    def __init__(self, available: np.ndarray, size: int):
+        self.av, self.size = available, size
+        have = np.flatnonzero(available)
+        self.pairs: list[list[int]] = [[] for _ in range(size)]
+        for a in have.tolist():
+            for b in have[have <= min(a, size - 1 - a)].tolist():
+                self.pairs[a + b].append(a)
+
+    def _use(self, out: list, *lengths: int) -> None:
+        need = Counter(lengths)
+        times = min(int(self.av[x]) // k for x, k in need.items())
         if times > 0:
             for x, k in need.items():
-                av[x] -= k * times
+                self.av[x] -= k * times
             out.append((lengths, times))
 
-    for top in range(size - 1, 0, -1):
-        gap = size - top
-        if av[top] and gap < size and gap <= top:
-            use(top, gap)
-    for top in range(size - 1, 0, -1):
-        gap = size - top
-        if av[top]:
-            for a in range(min(top, gap - 1), (gap + 1) // 2 - 1, -1):
-                if not av[top]:
-                    break
-                if av[a] and av[gap - a]:
-                    use(top, a, gap - a)
-    #: sums of pairs that are available: sum -> larger members
-    have = np.flatnonzero(av)
-    index = np.zeros((size, size), bool)
-    for a in have.tolist():
-        b = have[have <= min(a, size - 1 - a)]
-        index[a + b, a] = True
-    for top in range(size - 1, 0, -1):
-        gap = size - top
-        if not av[top]:
-            continue
-        for a in range(min(top, gap - 2), 0, -1):
-            if not av[top]:
+    def _two(self, out: list, held: tuple[int, ...], gap: int) -> None:
+        for a in self.pairs[gap] if gap < self.size else ():
+            if a > held[-1] or not all(self.av[x] for x in held):
                 break
-            if not av[a]:
-                continue
-            for b in np.flatnonzero(index[gap - a, : a + 1]).tolist():
-                if not (av[top] and av[a]):
-                    break
-                if av[b] and av[gap - a - b]:
-                    use(top, a, b, gap - a - b)
-    return out
+            if self.av[a] and self.av[gap - a]:
+                self._use(out, *held, a, gap - a)
+
+    def close(self, members: int) -> list[tuple[tuple[int, ...], int]]:
+        """Longest first, what fits exactly with one, two or three further lengths, as often as the counts allow; lowers them."""
+        out: list[tuple[tuple[int, ...], int]] = []
+        for top in range(self.size - 1, 0, -1):
+            gap = self.size - top
+            if members == 1:
+                if gap <= top and self.av[top] and self.av[gap]:
+                    self._use(out, top, gap)
+            elif members == 2:
+                self._two(out, (top,), gap)
+            else:
+                for a in range(-(-gap // 3), min(top, gap - 2) + 1):
+                    if not self.av[top]:
+                        break
+                    if self.av[a]:
+                        self._two(out, (top, a), gap - a)
+        return out
 
 
 def _best_fit(av: np.ndarray, size: int) -> list[tuple[tuple[int, ...], int]]:
@@ -204,12 +211,41 @@ def _best_fit(av: np.ndarray, size: int) -> list[tuple[tuple[int, ...], int]]:
     return [(tuple(held), count) for held, count in (x for some in open_ for x in some)]
 
 
+def _first(closed: list[tuple[tuple[int, ...], int]], keep: int, av: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
+    """The first `keep` sequences of what is closed; the lengths of the others become available again."""
+    out = []
+    for lengths, times in closed:
+        k = min(times, keep)
+        keep -= k
+        if k:
+            out.append((lengths, k))
+        for x in lengths:
+            av[x] += times - k
+    return out
+
+
+#: Fixed value: at how many evenly spaced points closing by pairs and triples may stop.
+STOPS = 64
+
+
 def plan_packing(counts: np.ndarray, size: int) -> list[tuple[tuple[int, ...], int]]:
-    """counts[length] for lengths below size -> (lengths, times). The better of exact closing first and plain best fit."""
-    av = counts.copy()
-    exact = _close_exactly(av, size)
-    plans = [exact + _best_fit(av, size), _best_fit(counts, size)]
-    return min(plans, key=lambda p: sum(k for _, k in p))
+    """counts[length] for lengths below size -> (lengths, times): exact complements, then best fit for what they leave.
+
+    A sequence closed exactly wastes nothing, but closing by pairs and triples until nothing fits may leave too few short
+    lengths for the residuals. So it stops where closed sequences and best-fit residuals together are fewest; of equal
+    stops, the one that closes most. Single complements always stay."""
+    closer = Closer(counts.copy(), size)
+    single = closer.close(1)
+    more = closer.close(2) + closer.close(3)
+    total, best = sum(times for _, times in more), None
+    for keep in sorted({total * k // STOPS for k in range(STOPS + 1)}, reverse=True):
+        av = closer.av.copy()
+        kept = _first(more, keep, av)
+        plan = single + kept + _best_fit(av, size)
+        used = sum(times for _, times in plan)
+        if best is None or used < best[0]:
+            best = used, plan
+    return best[1]
 
 
 def _places(plan: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
