@@ -242,6 +242,7 @@ def test_decontamination(spark):
     docs = spark.createDataFrame(docs, "doc_id long, text string")
     bench = spark.createDataFrame([*items, (9, None), (10, "short")], "item_id long, text string")
     want = [(0, 0), (1, 1), (5, 2), (5, 2)]
+    assert decontaminate.contamination(docs.where("false"), bench).count() == 0
     for size in (4 << 20, 300):  # one block, and several
         got = decontaminate.contamination(docs, bench, block_bytes=size).collect()
         assert sorted((r.doc_id, r.item_id) for r in got) == want
@@ -249,13 +250,63 @@ def test_decontamination(spark):
     assert decontaminate.contamination(docs, bench.where("false")).count() == 0
 
 
+def test_alignment_says_where_it_starts_and_ends():
+    item = np.arange(10)
+    assert decontaminate.align(item, np.r_[50, 51, item, 52]) == (20, 2, 12)
+    assert decontaminate.align(item, np.r_[50, item[:5], 60, item[5:], 52]) == (19, 1, 12)
+    long = np.arange(6000)
+    assert decontaminate.align(long, np.r_[long[:3000], 9999, long[3000:]]) == (11999, 0, 6001)
+
+
+def test_decontamination_against_all_alignments(spark):
+    rng = random.Random(27)
+    few = VOCABULARY[:14]  # so few words that chance matches are many
+    items = [(k, " ".join(rng.choice(few) for _ in range(n))) for k, n in enumerate([1, 2, 3, 4, 5, 7, 9, 10, 12, 20, 33])]
+
+    def damaged(words, kind, every):
+        out = []
+        for k, w in enumerate(words):
+            hit = k % every == every - 1
+            if not (kind == "drop" and hit):
+                out.append("new" if kind == "swap" and hit else w)
+            if kind == "add" and hit:
+                out.append("new")
+        return out
+
+    texts = [sentence(rng, 30), None, "", " ".join(rng.choice(few) for _ in range(120))]
+    for _, t in items:
+        for kind in ("swap", "add", "drop"):
+            for every in (2, 3, 4, 6):
+                texts.append(" ".join(["before", *damaged(t.split(), kind, every), "after"]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.contamination(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = {}
+    for d, t in enumerate(texts):
+        for i, item in items:
+            a, b = decontaminate.plain_words(item), decontaminate.plain_words(t)
+            number = {w: k for k, w in enumerate({*a, *b})}
+            share = brute_align([number[w] for w in a], [number[w] for w in b]) / (2 * len(a))
+            if share >= (0.6 if len(a) >= 4 else 1):
+                want[d, i] = share
+    assert got == pytest.approx(want)
+
+
+def test_a_very_long_item_and_text(spark):
+    rng = random.Random(28)
+    words = sentence(rng, 6000).split()
+    copy = [*words[:2500], "new", *words[2600:]]
+    docs = spark.createDataFrame([(1, sentence(rng, 500) + " " + " ".join(copy)), (2, sentence(rng, 9000))], "doc_id long, text string")
+    got = decontaminate.contamination(docs, spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")).collect()
+    assert [(r.doc_id, r.item_id) for r in got] == [(1, 1)] and got[0].similarity > 0.95
+
+
 def test_an_item_in_many_documents_is_still_found_where_edited(spark):
     item = sentence(random.Random(17), 30)
     edited = item.split()
-    edited[7] = edited[20] = "edited"  # breaks eight 4-grams, which 1001 exact copies make the rarest
-    docs = spark.createDataFrame([*((k, item) for k in range(1001)), (5000, " ".join(edited))], "doc_id long, text string")
+    edited[7] = edited[20] = "edited"  # breaks eight 4-grams, which 1500 exact copies make the rarest
+    docs = spark.createDataFrame([*((k, item) for k in range(1500)), (5000, " ".join(edited))], "doc_id long, text string")
     got = decontaminate.contamination(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
-    assert {r.doc_id for r in got.collect()} == {*range(1001), 5000}
+    assert {r.doc_id for r in got.collect()} == {*range(1500), 5000}
 
 
 def test_surrogates(spark):
@@ -281,6 +332,44 @@ def test_surrogates(spark):
     assert any(n in got[2].text for n in pii.GIVEN["latin", "f"])
 
 
+def test_people_are_replaced_wherever_the_text_names_them(spark):
+    rows = [
+        (1, "John Smith wrote. Later John said hello to Alice Brown and John left. SMITH stayed, Smithson too."),
+        (2, "My name is Zorba Greekson. Zorba is here; then Kwame Mensah said no."),
+        (3, "Mr. O'Brien met John F. Kennedy and Mary-Ann Jones."), (4, "Иван Петров пришёл. Петров ушёл."), (5, "Smith and John alone are no names here"),
+    ]
+    docs = spark.createDataFrame([(*r, 1, "a", "b", "c") for r in rows], "doc_id long, text string, __key int, new string, same_text string, pieces string")
+    out = pii.replace_pii(docs)
+    assert out.columns == [*docs.columns, "n_entities"] and out.select("__key", "new", "same_text", "pieces").distinct().collect() == [(1, "a", "b", "c")]
+    got = {r.doc_id: r for r in out.collect()}
+    for k, names in ((1, "John Smith Alice Brown SMITH"), (2, "Zorba Greekson Kwame Mensah"), (3, "O'Brien John Kennedy Mary Ann Jones"), (4, "Иван Петров Петров")):
+        words = set(got[k].text.replace(".", "").replace(";", "").replace(",", "").replace("-", " ").split())
+        assert not words & set(names.split()), (k, got[k].text)
+    first = got[1].text.split()
+    assert first[0] == first[4] == first[11] and first[1].upper() == first[13] and "Smithson" in got[1].text
+    assert got[1].text.split()[0] in pii.GIVEN["latin", "m"] and got[5].text == rows[4][1] and got[5].n_entities == 0
+    assert got[1].n_entities == 7 and len(got[4].text.split()) == 5
+
+
+def test_surrogates_of_very_long_texts_of_no_rows_and_of_marks(spark):
+    long = "word " * 20_000 + "ask a.b@c.org now " + "word " * 20_000 + "10.1.2.3"
+    mark = pii._MARK
+    docs = spark.createDataFrame([(1, long), (2, f"x {mark} a.b@c.org {mark}y 10.1.2.3"), (3, "a.b@c.org")], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.replace_pii(docs).collect()}
+    assert got[1].n_entities == got[2].n_entities == 2 and len(got[1].text.split()) == len(long.split())
+    assert got[2].text.startswith(f"x {mark} {got[3].text} {mark}y 2")
+    assert pii.replace_pii(docs.where("false")).count() == 0
+
+
+def test_given_names_are_permuted_by_the_key(spark):
+    names = [n for group in pii.GIVEN.values() for n in group]
+    docs = spark.createDataFrame([(k, f"{n} Smith") for k, n in enumerate(names)], "doc_id long, text string")
+    got = [{r.doc_id: r.text.split()[0] for r in pii.replace_pii(docs, key=key).collect()} for key in ("one", "two")]
+    for told in got:
+        assert sorted(told.values()) == sorted(names) and all(told[k] != n for k, n in enumerate(names))
+    assert sum(got[0][k] != got[1][k] for k in got[0]) > len(names) // 2
+
+
 def test_distinct_entities_stay_distinct(spark):
     rows = [(k, f"Mr. X{chr(97 + k // 26)}{chr(97 + k % 26)} {k % 200}.{k}.7.{k % 91}".replace(f".{k}.", f".{k % 256}.")) for k in range(600)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
@@ -358,3 +447,72 @@ def test_an_ordinary_word_near_a_term_does_not_veto_its_misspellings(spark):
     assert hit("vileword") > hit("vilewword") > 0 and hit("vilewerd") > 0
     assert hit("uglyterm") > hit("uglytterm") > 0
     assert hit("vilewword") / hit("vileword") > hit("uglytterm") / hit("uglyterm")
+
+
+def test_windows_part_quotation_reporting_and_negation_from_abuse(spark):
+    m = toxicity.Toxicity({"vileword": 3.0}, np.array([1.0, -1.0, 0.0, 0.0]), -1.0)
+    plain_use = ["you vileword there", "you are vileword now", '"hello there" vileword "bye now"', "he is vileword 'tis so"]
+    mentioned = ["you are not vileword", "never vileword", 'she wrote "vileword" there', "il a dit vileword", "“some vileword here” is", "the word vileword", '"vileword"', "nie vileword", "pas vileword"]
+    for t in plain_use:
+        assert m.features(t)[0] > 0 == m.features(t)[1], t
+    for t in mentioned:
+        assert m.features(t)[1] > 0 == m.features(t)[0], t
+    docs = spark.createDataFrame([(1, "a vilewird b"), (2, None), (3, ""), (1, "a vilewird b"), (None, "not vileword")], "doc_id long, text string")
+    got = sorted((str(r.doc_id), r.found, r.place, r.edited, r.quoted) for r in toxicity.toxic_hits(docs, m).collect())
+    assert got == [("1", "vilewird", 1, True, False)] * 2 + [("None", "vileword", 1, False, True)]
+
+
+def test_toxicity_of_no_rows_long_texts_repeats_and_clashing_columns(spark, empty):
+    m = toxicity.Toxicity({"vileword": 3.0}, np.array([2.0, 0.0, 0.0, 0.0]), -1.0)
+    assert toxicity.score_toxicity(empty, m).count() == toxicity.toxic_hits(empty, m).count() == 0
+    long = "kaba " * 60_000 + "vileword"
+    docs = spark.createDataFrame([(1, long, 5.0, "x"), (1, long, 5.0, "x"), (2, "kaba", 5.0, "x")], "doc_id long, text string, score double, word string")
+    got = sorted((r.doc_id, r.predicted) for r in toxicity.score_toxicity(docs, m).collect())
+    assert got == [(1, 1), (1, 1), (2, 0)]
+    nothing = toxicity.learn_toxicity(empty, spark.createDataFrame([], "doc_id long, quality int, toxic int"), F.lit(True))
+    assert toxicity.score_toxicity(docs, nothing).agg(F.max("predicted")).first()[0] == 0
+
+
+def test_languages_of_numbers_long_texts_ties_and_no_rows(spark, empty):
+    rng = random.Random(14)
+    long = " ".join(rng.choice(VOCABULARY[:25]) for _ in range(20_000))
+    rows = [(1, long, "aa", 0.5), (2, " ".join(rng.choice(VOCABULARY[25:]) for _ in range(400)), "bb", 0.5), (3, "½ ²", None, 0.5), (4, "Ⅷ", None, 0.5), (5, long[:90_000], None, 0.5), (5, long[:90_000], None, 0.5), (None, "vuba weba tofo toce sidi vugu webe tora", None, 0.5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double")
+    model = language_id.learn_languages(docs, F.lit(True), longest=1000)
+    assert set(model.samples) == {"aa", "bb"}
+    got = sorted((str(r.doc_id), r.lang_pred) for r in language_id.identify_languages(docs, model).collect())
+    assert got == [("1", "aa"), ("2", "bb"), ("3", "und"), ("4", "und"), ("5", "aa"), ("5", "aa"), ("None", "bb")]
+    tie = language_id.Languages({"b": b"same words here", "a": b"same words here"})
+    assert tie.predict("same", 0.01)[0] == "a"
+    assert language_id.identify_languages(empty, model).count() == 0
+
+
+def test_secrets_of_no_rows_repeats_and_clashing_columns(spark, empty):
+    assert secrets.secret_digest(secrets.find_secrets(empty)).count() == 0
+    docs = spark.createDataFrame([(1, "token = abcdefghijklmnop", "x")] * 2 + [(None, "AKIA" + "A1" * 8, "x")], "doc_id long, text string, spans string")
+    got = sorted((str(r.doc_id), r.n_assign, r.n_access) for r in secrets.secret_digest(secrets.find_secrets(docs)).collect())
+    assert got == [("1", 1, 0), ("1", 1, 0), ("None", 0, 1)]
+
+
+def test_resampling_parts_held_out_good_from_bad_and_takes_odd_rows(spark):
+    rng = random.Random(15)
+    rows = [(k, sentence(rng, 30) if k % 3 else " ".join(rng.choice(["###", "$$$", "%%%"]) for _ in range(30))) for k in range(300)]
+    docs = spark.createDataFrame([(*r, 1.0, 2) for r in [*rows, (1, rows[1][1]), (None, rows[2][1]), (900, sentence(rng, 30_000))]], "doc_id long, text string, weight double, bin int")
+    labels = spark.createDataFrame([(k, int(k % 3 > 0), 0) for k in range(0, 300, 2)], "doc_id long, quality int, toxic int")
+    w = importance.fit(docs, labels)
+    got = importance.resample(docs, w).collect()
+    held_out = [r for r in got if r.doc_id is not None and r.doc_id % 2 and r.doc_id < 300]
+    assert all(r.selected == bool(r.doc_id % 3) for r in held_out)
+    twice = [r for r in got if r.doc_id == 1]
+    assert len(twice) == 2 and twice[0] == twice[1] and next(r for r in got if r.doc_id is None).selected and all(math.isfinite(r.weight) for r in got)
+    raw, good = Counter(), Counter()  # the weights by hand
+    for k, t in [*rows, (1, rows[1][1]), (None, rows[2][1])]:
+        n = Counter(importance.features(t, importance.WordHash()).tolist())
+        raw += n
+        good += n if k is not None and k % 2 == 0 and k % 3 else Counter()
+    at = rows[2][1]
+    by_hand = sum(math.log((good[b] + 0.05) / (good.total() + 0.05 * importance.BINS)) for b in importance.features(at, importance.WordHash()).tolist())
+    raw_all = importance.features(docs.where("doc_id = 900").first().text, importance.WordHash())
+    raw += Counter(raw_all.tolist())
+    by_hand -= sum(math.log((raw[b] + 0.05) / (raw.total() + 0.05 * importance.BINS)) for b in importance.features(at, importance.WordHash()).tolist())
+    assert next(r.weight for r in got if r.doc_id == 2) == pytest.approx(by_hand)

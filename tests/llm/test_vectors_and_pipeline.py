@@ -52,12 +52,82 @@ def test_links_are_counted_once_from_either_side_when_few_lists_are_visited(spar
     assert got == dict(enumerate(linked.sum(1).tolist()))
 
 
+def test_recall_where_a_query_visits_few_of_many_lists(spark):
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(4000, 32))
+    base /= np.linalg.norm(base, axis=1)[:, None]
+    turn = rng.normal(size=base.shape)
+    turn -= (turn * base).sum(1)[:, None] * base
+    turn /= np.linalg.norm(turn, axis=1)[:, None]
+    c = rng.uniform(0.9, 0.95, size=(4000, 1))
+    x = np.concatenate([base, c * base + np.sqrt(1 - c * c) * turn])
+    want = sum(int(((x[k : k + 1000] @ x.T) >= 0.9).sum()) for k in range(0, len(x), 1000)) - len(x)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = nv.near_vectors(df, 0.9, lists=600, probes=24)  # a twenty-fifth of the lists
+    assert got.agg(F.sum("n_links")).first()[0] >= 0.97 * want >= 8000 * 0.97
+
+
+def test_repeated_and_null_ids_of_vectors(spark):
+    a, b = [1.0, 0.0], [0.0, 1.0]
+    df = spark.createDataFrame([(1, a), (1, a), (1, b), (2, [2.0, 0.0]), (None, a), (3, [1.0, None])], "vec_id long, embedding array<double>")
+    got = sorted((str(r.vec_id), r.n_links, r.component_id, r.kept) for r in nv.near_vectors(df).collect())
+    assert got == [("1", 0, 1, True), ("1", 2, 1, True), ("1", 2, 1, True), ("2", 2, 1, False), ("3", 0, 3, True), ("None", None, None, None)]
+
+
 def test_components_of_chains_stars_and_loops(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 140)] + [(7, 7), (3, None)] + [(200, 201)] * 3
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(41), 0), **dict.fromkeys(range(100, 140), 100), 200: 200, 201: 200}
 
 
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, row string, mark string"
+
+
+def rows(spark, *pairs):
+    return spark.createDataFrame([(i, t, "en", "s", len(t or ""), "r", "m") for i, t in pairs], DOCS)
+
+
+def prose(seed, n=40):
+    rng = np.random.default_rng(seed)
+    return " ".join("".join(rng.choice(list("abcdefgh"), 5)) for _ in range(n))
+
+
+def test_near_duplicates_of_rows_with_equal_and_null_ids(spark):
+    import corpus_pipeline
+
+    a, b, c = prose(1), prose(2), prose(3)
+    near = a.replace(a.split()[0], "other")
+    docs = rows(spark, (5, a), (3, near), (7, a), (7, a), (7, b), (None, a), (None, c), (None, c), (8, ""), (8, ""), (9, None), (1, "short"), (2, "SHORT"))
+    got = sorted(((r.doc_id if r.doc_id is not None else -1), r.text or "") for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
+    assert got == sorted([(3, near), (7, b), (-1, c), (8, ""), (8, ""), (9, ""), (1, "short")])
+    assert corpus_pipeline.near_duplicates(spark, docs.where("false"), "").count() == 0
+
+
+def test_quality_judges_rows_not_ids(spark, tmp_path):
+    import corpus_pipeline
+
+    good, junk = [prose(k) for k in range(60)], ["### $$$ %%% " * 10 + str(k) for k in range(20)]
+    texts = [*enumerate(good), *((100 + k, t) for k, t in enumerate(junk)), (0, junk[1] + " more"), (None, junk[2]), (None, good[3]), (300, None)]
+    docs = rows(spark, *texts)
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(1, 60)] + [(100 + k, 0, 0) for k in range(20)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    out = corpus_pipeline.quality(spark, docs, str(tmp_path))
+    assert out.columns == docs.columns
+    kept = {(r.doc_id, r.text) for r in out.collect()}
+    assert {(k, t) for k, t in enumerate(good)} | {(None, good[3])} <= kept
+    assert not any(t and t.startswith("###") for _, t in kept)
+
+
+def test_decontaminated_judges_rows_not_ids(spark, tmp_path):
+    import corpus_pipeline
+
+    item = prose(50, 20)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = rows(spark, (1, "x " + item), (1, prose(51)), (None, item), (None, prose(52)), (2, None), (2, ""))
+    kept = sorted(str((r.doc_id, r.text)) for r in corpus_pipeline.decontaminated(spark, docs, str(tmp_path)).collect())
+    assert kept == sorted(map(str, [(1, prose(51)), (None, prose(52)), (2, None), (2, "")]))
+
+
 def test_pipeline_stages_keep_columns_and_clean_documents(spark, tmp_path):
     import corpus_pipeline
 

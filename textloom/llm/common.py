@@ -50,6 +50,17 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def free_names(taken: list[str], *names: str) -> list[str]:
+    """Names for columns of our own that no given column has, whatever its case."""
+    lower = {t.lower() for t in taken}
+    out = []
+    for n in names:
+        while n.lower() in lower:
+            n += "_"
+        out.append(n)
+    return out
+
+
 def remainder(id_col: str, mod: int) -> Column:
     """crc32 of the id as text, modulo; a null id counts as remainder 1, so it is never held out of a fold by accident."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % mod, F.lit(1))

@@ -10,16 +10,22 @@ from __future__ import annotations
 
 import math
 import re
+import sys
+import unicodedata
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
+_NOT_WORDS = re.compile(r"[\W\d_]+")
+#: Word characters that are no letters by their Unicode category: numbers such as ½, ² and Ⅷ.
+_NUMBERS = re.compile("[" + "".join(c for c in map(chr, range(128, sys.maxunicode + 1)) if unicodedata.category(c) in ("No", "Nl")) + "]+")
 
 
 def letters_of(text: str | None) -> str:
-    return _NOT_LETTERS.sub(" ", text.lower()).strip() if text else ""
+    """Runs of letters (Unicode category L, with the marks that words hold), lower-cased, one space between them."""
+    words = _NOT_WORDS.sub(" ", _NUMBERS.sub(" ", text.lower())).strip() if text else ""
+    return words if any(c.isalpha() for c in words) else ""
 
 
 class Languages:
@@ -73,16 +79,26 @@ class Languages:
         return lang, score, (second - best) / second >= narrow
 
 
-def learn_languages(docs: DataFrame, learn: Column, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", rows_per_language: int = 120, longest: int = 32_768, dict_bytes: int = 112 << 10) -> Languages:
+def learn_languages(docs: DataFrame, learn: Column, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", rows_per_language: int = 120, longest: int = 32_768, dict_bytes: int = 112 << 10, most_languages: int = 200) -> Languages:
     """Dictionaries from a sample of labelled rows: about rows_per_language rows of each language, chosen by a hash of the
-    id, none longer than `longest` bytes; dict_bytes of their letters are kept. These bounds are all that is collected."""
+    id and the text, of a longer text a stretch of `longest` characters; dict_bytes of their letters are kept. Of a language
+    whose sample is empty all rows are taken, up to rows_per_language of least hash. Only the most_languages languages with
+    the most rows are learned. These bounds are all that is collected; they bound the sample, not what is predicted."""
     rows = docs.where(F.coalesce(learn, F.lit(False)) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = {r["lang"]: r["n"] for r in rows.groupBy(F.col(lang_col).cast("string").alias("lang")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    by_lang = rows.groupBy(F.col(lang_col).cast("string").alias("lang")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages)
+    counts = {r["lang"]: r["n"] for r in by_lang.collect()}
     if not counts:
         return Languages({})
     share = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1.0, rows_per_language / n))])
-    u = F.pmod(F.xxhash64(F.lit("language sample"), F.col(id_col)), F.lit(1 << 20)) / F.lit(1 << 20)
-    some = rows.where((F.octet_length(text_col) <= longest) & (u < F.element_at(share, F.col(lang_col).cast("string")))).select(F.col(lang_col).cast("string").alias("lang"), F.col(id_col).alias("id"), F.col(text_col).alias("text")).collect()
+    u = F.pmod(F.xxhash64(F.lit("language sample"), F.col(id_col), F.col(text_col)), F.lit(1 << 20)) / F.lit(1 << 20)
+    drawn = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(id_col).alias("id"), u.alias("u"), F.col(text_col).cast("string").alias("text")).where(F.col("lang").isin(list(counts)))
+    start = F.floor(F.col("u") * F.greatest(F.length("text") - longest, F.lit(0))).cast("int") + 1  # a stretch anywhere in a long text
+    drawn = drawn.withColumn("text", F.when(F.length("text") > longest, F.substring("text", start, F.lit(longest))).otherwise(F.col("text")))
+    some = drawn.where(F.col("u") < F.element_at(share, F.col("lang"))).collect()
+    missed = sorted(set(counts) - {r["lang"] for r in some})  # possible only where a language has few rows
+    if missed:
+        least = F.row_number().over(Window.partitionBy("lang").orderBy("u", "id", "text"))
+        some += drawn.where(F.col("lang").isin(missed)).withColumn("k", least).where(F.col("k") <= rows_per_language).drop("k").collect()
     samples: dict[str, bytes] = {}
     for r in sorted(some, key=lambda r: (r["lang"], str(r["id"]), r["text"])):
         got = samples.get(r["lang"], b"")

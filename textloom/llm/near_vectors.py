@@ -18,6 +18,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -81,16 +82,20 @@ class Quantiser:
 
 
 def _clean(vectors: pa.Array) -> list[np.ndarray | None]:
-    """Unit vectors in double precision; None for what links with nothing."""
-    out = []
-    for v in vectors:
-        v = v.as_py()
-        if not v or any(x is None for x in v):
-            out.append(None)
-            continue
-        v = np.array(v, np.float64)
-        norm = math.sqrt(float((v * v).sum())) if np.isfinite(v).all() else 0.0
-        out.append(v / norm if norm and math.isfinite(norm) else None)
+    """Unit vectors in double precision; None for what links with nothing. Vectors of one length are taken together."""
+    out: list[np.ndarray | None] = [None] * len(vectors)
+    sizes = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)  # a null component is NaN here
+    starts = np.r_[0, np.cumsum(sizes)[:-1]] if len(sizes) else sizes
+    for size in np.unique(sizes[sizes > 0]).tolist():
+        rows = np.flatnonzero(sizes == size)
+        x = flat[starts[rows][:, None] + np.arange(size)]
+        with np.errstate(over="ignore", invalid="ignore"):
+            norm = np.sqrt((x * x).sum(1))
+        good = np.isfinite(x).all(1) & np.isfinite(norm) & (norm > 0)
+        unit = x[good] / norm[good, None]
+        for k, u in zip(rows[good].tolist(), unit, strict=True):
+            out[k] = u
     return out
 
 
@@ -171,15 +176,17 @@ def _compare(model, cosine: float):
     return run
 
 
-def near_vectors(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id", vec_col: str = "embedding", sample_rows: int = 20_000, lists: int | None = None, probes: int = 24, parts: int = 16, block: int = 2048) -> DataFrame:
+def near_vectors(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id", vec_col: str = "embedding", sample_rows: int = 20_000, lists: int | None = None, probes: int | None = None, parts: int = 16, block: int = 4096) -> DataFrame:
     """One row for each row of vectors: vec_id, n_links, component_id, kept.
 
     A link joins two rows whose cosine is at least `cosine`; n_links counts the other rows linked directly, component_id
     is the least id reachable. Null, empty, zero vectors and those with null or non-finite components have no link. Only
     vectors of equal dimension are compared. Equal vectors (whatever their length) are linked with each other; a repeated
     id counts for each of its rows; rows with a null id have null results and link with nothing. The quantiser is fit on
-    about sample_rows vectors chosen by a hash; every vector is indexed and every vector is a query. probes is the number
-    of lists a query visits; block bounds members and queries of a task. Other columns are ignored."""
+    about sample_rows vectors chosen by a hash, or eight for each list where that is more; every vector is indexed and
+    every vector is a query. lists is the square root of the number of distinct vectors unless given, 16384 at most; probes,
+    the lists a query visits, 24 or one in 128 of them; block bounds members and queries of a task. Other columns are
+    ignored, and no rows give no rows."""
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("vec"))
     units = materialize(rows.where("vec_id is not null").mapInArrow(_units, "vec_id long, unit binary, dim int").withColumn("fp", F.expr("md5(unit)")), "units")
@@ -201,11 +208,12 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id"
     return linked.unionByName(unnamed).withColumn("kept", F.col("vec_id") == F.col("component_id"))
 
 
-def _links(units: DataFrame, n: int, cosine: float, sample_rows: int, lists: int | None, probes: int, parts: int, block: int) -> DataFrame:
+def _links(units: DataFrame, n: int, cosine: float, sample_rows: int, lists: int | None, probes: int | None, parts: int, block: int) -> DataFrame:
     """Partial counts of links (a, null, n) and edges (a, b, null) that connect what is linked, of distinct unit vectors."""
     sc = units.sparkSession.sparkContext
-    lists = lists or max(1, min(4096, int(math.sqrt(n))))
-    share = min(1.0, sample_rows / max(n, 1))
+    lists = lists or max(1, min(16_384, int(math.sqrt(n))))
+    probes = probes or max(24, lists // 128)
+    share = min(1.0, max(sample_rows, 8 * lists) / max(n, 1))
     some = units.where(F.pmod(F.xxhash64(F.lit("sample"), "unit"), F.lit(1 << 20)) < int(math.ceil(share * (1 << 20)))).collect()
     some = some or units.limit(1).collect()  # a sample of few rows may be empty
     sample = np.array([np.frombuffer(r["unit"], np.float64) for r in sorted(some, key=lambda r: r["unit"])])
@@ -213,7 +221,7 @@ def _links(units: DataFrame, n: int, cosine: float, sample_rows: int, lists: int
     placed = materialize(units.mapInArrow(_place(model, probes), _PLACED), "placed")
     tally = placed.groupBy("list").agg(F.count(F.when(F.col("role") == "m", 1)).alias("m"), F.count(F.when(F.col("role") == "q", 1)).alias("q"))
     blocks = tally.select("list", F.expr(f"greatest(1, cast(ceil(m / {block}) as int))").alias("mb"), F.expr(f"greatest(1, cast(ceil(q / {block}) as int))").alias("qb"))
-    dealt = placed.join(F.broadcast(blocks), "list")  # one row for each list, at most 4096
+    dealt = placed.join(F.broadcast(blocks), "list")  # one row for each list, at most 16384
     at = F.pmod(F.xxhash64("fp"), F.when(F.col("role") == "m", F.col("mb")).otherwise(F.col("qb")))
     dealt = dealt.withColumn("at", at)
     mine = dealt.where("role = 'm'").select(F.col("list").alias("list_"), "fp", "unit", "times", "code", "slack", "visits", F.col("at").alias("mb_"), F.explode(F.expr("sequence(cast(0 as bigint), cast(qb as bigint) - 1)")).alias("qb_"))

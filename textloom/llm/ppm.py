@@ -302,7 +302,7 @@ def lm_scores(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str = "t
     for r in named.where("learn").select("text").mapInArrow(_pairs, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():  # at most 257 x 257 rows
         one[r["pair"] >> 9, r["pair"] & 511] = r["n"]
     one = spark.sparkContext.broadcast(one)
-    parts = named.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(chunks)))
+    parts = named.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)))
     by_chunk = parts.groupBy("chunk")
     levels = [by_chunk.applyInArrow(_requests(buckets), _ROWS)]
     n = chunks

@@ -24,9 +24,11 @@ from textloom.llm.common import materialize
 _EDGES = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 _LEET = str.maketrans("013457@$!|", "oieastasii")
 _OPEN, _CLOSE = set("\"“”„«»‘'"), set("\"“”„«»’'")
-#: Words that report speech or negate, in the four languages of the tables.
-REPORTS = frozenset("said says wrote writes called quoted quote quotes cited according reported claims claimed word words term slur sagte schrieb nannte zitat wort dit écrit appelé cite mot dijo escribió llamó cita palabra not never nicht nie pas jamais no nunca".split())
-WINDOW = 6
+#: Words that report speech, and words that negate, in the four languages of the tables; tokens around a hit
+#: that are looked at, and tokens before it in which a negation counts.
+REPORTS = frozenset("said says wrote writes called quoted quote quotes cited according reported claims claimed word words term slur sagte schrieb nannte zitat wort dit écrit appelé cite mot dijo escribió llamó cita palabra".split())
+NEGATIONS = frozenset("not no never nicht kein keine nie pas jamais nunca".split())
+WINDOW, NEGATED = 6, 2
 #: What a term counts where it is met with edits, and a rare one.
 EDITED, EDITED_RARE = 0.8, 0.4
 
@@ -171,10 +173,32 @@ class Toxicity:
 
     @staticmethod
     def _quoted(tokens: list[str], k: int) -> bool:
+        """Whether token k stands inside quotation marks that open and close within the window, after a word of reporting
+        there, or right after a negation."""
         low, high = max(0, k - WINDOW), min(len(tokens), k + WINDOW + 1)
-        opened = any(t[0] in _OPEN for t in tokens[low : k + 1])
-        closed = any(t.rstrip(".,;:!?")[-1:] in _CLOSE for t in tokens[k:high])
-        return (opened and closed) or any(t.strip(".,;:!?\"'").lower() in REPORTS and len(t) > 3 for t in tokens[low:k])
+        ends = lambda t: t.rstrip(".,;:!?")[-1:] in _CLOSE
+        inside = False
+        for t in tokens[low:k]:
+            inside = (inside or t[0] in _OPEN) and not (len(t) > 1 and ends(t))
+        if inside or tokens[k][0] in _OPEN:
+            for n, t in enumerate(tokens[k:high]):
+                if n and t[0] in _OPEN and not ends(t):
+                    break  # another quotation opens first
+                if (n or len(t) > 1) and ends(t):
+                    return True
+        before = [t.strip(".,;:!?\"'“”„«»").lower() for t in tokens[low:k]]
+        return any(t in REPORTS for t in before) or any(t in NEGATIONS for t in before[-NEGATED:])
+
+    def hits(self, text: str | None) -> list[dict]:
+        """What the automaton catches: the term, the token as it stands, its place among the tokens, whether it is quoted."""
+        if self.automaton is None:
+            self.automaton = LexiconAutomaton(self.terms)
+        out = []
+        for k, token in enumerate(tokens := (text or "").split()):
+            if self.known.get(token, 1.0) and (value := self._look(token)):
+                hit = self.automaton.find(plain(token))
+                out.append({"term": hit[0], "found": token, "place": k, "edited": value < 0, "quoted": self._quoted(tokens, k)})
+        return out
 
     def score(self, text: str | None) -> float:
         z = float(self.features(text) @ self.weights) + self.bias
@@ -218,7 +242,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60, ridge: float = 0.0
 
 def learn_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_rows: int = 20_000, most_terms: int = 3_000, least_texts: int = 4, least_odds: float = 2.0, edit_share: float = 0.05) -> Toxicity:
     """Fit on a sample of labelled rows for which learn holds: about label_rows, chosen by a hash of the id, which bounds
-    what is broadcast and collected. The lexicon has at most most_terms words, each in at least least_texts toxic texts
+    what is broadcast and collected. The lexicon has at most most_terms words of 3 to 40 letters, each in at least least_texts toxic texts
     with log-odds of at least least_odds, the strongest first. Edits of terms in fewer than edit_share of the toxic texts
     count for less: chance resemblance to a rare word says less. A word near a term that is met in texts not labelled toxic,
     with less than those odds, is no edit of it; the term's other edits stay."""
@@ -252,10 +276,11 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, id_col: st
 
 
 def score_toxicity(docs: DataFrame, model: Toxicity, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of docs: doc_id, score (0 to 1), predicted (1 if score >= 0.5), hits array<struct<term, found>>.
+    """One row for each row of docs: doc_id, score (0 to 1), predicted (1 if score >= 0.5).
 
     Null and empty texts score what a text without hits scores. Repeated and null ids are rows like any other; without
-    labelled rows there is no lexicon and every score is the bias's. Other columns are ignored."""
+    labelled rows there is no lexicon and every score is the bias's. Texts of any length are read whole; no rows give no
+    rows. Other columns are ignored."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -266,3 +291,20 @@ def score_toxicity(docs: DataFrame, model: Toxicity, id_col: str = "doc_id", tex
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return texts.mapInArrow(run, "doc_id long, score double, predicted int")
+
+
+def toxic_hits(docs: DataFrame, model: Toxicity, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each hit in each row of docs: doc_id, term, found (the token), place (its number), edited, quoted."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    kinds = {"doc_id": pa.int64(), "term": pa.string(), "found": pa.string(), "place": pa.int64(), "edited": pa.bool_(), "quoted": pa.bool_()}
+
+    def run(batches):
+        m = shared.value
+        for batch in batches:
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                rows = [{"doc_id": i, **hit} for hit in m.hits(text.as_py())]
+                if rows:
+                    yield pa.RecordBatch.from_pylist(rows, schema=pa.schema(list(kinds.items())))
+
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return texts.mapInArrow(run, "doc_id long, term string, found string, place long, edited boolean, quoted boolean")
