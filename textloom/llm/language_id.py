@@ -19,12 +19,18 @@ from pyspark.sql import functions as F
 
 _NOT_WORDS = re.compile(r"[\W\d_]+")
 #: Word characters that are no letters by their Unicode category: numbers such as ½, ² and Ⅷ.
-_NUMBERS = re.compile("[" + "".join(c for c in map(chr, range(128, sys.maxunicode + 1)) if unicodedata.category(c) in ("No", "Nl")) + "]+")
+_NUMBERS = frozenset(c for c in map(chr, range(128, sys.maxunicode + 1)) if unicodedata.category(c) in ("No", "Nl"))
+_NO_NUMBERS = dict.fromkeys(map(ord, _NUMBERS), " ")
 
 
 def letters_of(text: str | None) -> str:
     """Runs of letters (Unicode category L, with the marks that words hold), lower-cased, one space between them."""
-    words = _NOT_WORDS.sub(" ", _NUMBERS.sub(" ", text.lower())).strip() if text else ""
+    if not text:
+        return ""
+    text = text.lower()
+    if not text.isascii() and not _NUMBERS.isdisjoint(text):
+        text = text.translate(_NO_NUMBERS)
+    words = _NOT_WORDS.sub(" ", text).strip()
     return words if any(c.isalpha() for c in words) else ""
 
 
