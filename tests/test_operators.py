@@ -146,14 +146,6 @@ def test_perplexity_equals_counting_and_falls_with_repetition(spark):
     assert same.perplexity < r.perplexity and same.predictability > r.predictability and same.length_variation == 0
 
 
-def test_operators_look_at_the_columns_given(spark):
-    pages = spark.createDataFrame([(k, "https://x.webflow.io/a", "<p>short</p>") for k in range(1, 7)], "page_id long, url string, html string")
-    assert {(r.host, r.platform) for r in corpus.site_platform(pages).collect()} == {("x.webflow.io", dict((s, p) for s, p, _ in corpus.HOST_RULES)["webflow.io"])}
-    assert len({r.platform for r in corpus.scan_page(pages).collect()}) == 1
-    docs = spark.createDataFrame([(k, "nothing of note") for k in range(4)], "doc_id long, text string")
-    assert all(r[k] == 0 for r in corpus.marker_counts(docs).collect() for k in corpus.MARKERS)
-
-
 def test_clean_text_has_no_marks_and_marked_text_has(spark):
     plain_text = "Plain clean text with no marks at all, and a second part."
     marked = "A" + "​" * 3 + "B ‪ C" + " a  b" * 7

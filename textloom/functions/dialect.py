@@ -93,6 +93,29 @@ class Spark:
             out = f"zip_with({out}, slice({a}, {k + 1}, greatest(size({a}) - {k}, 0)), (x_, y_) -> concat(x_, ' ', y_))"
         return f"slice({out}, 1, greatest(size({a}) - {n - 1}, 0))"
 
+    def lookup(self, table, x):
+        """The number that a fixed table has for x; NULL where it has none."""
+        return "try_element_at(map(" + ", ".join(f"{self.lit(k)}, {v}D" for k, v in table.items()) + f"), {x})"
+
+    def struct(self, **fields):
+        return "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in fields.items()) + ")"
+
+    def sort(self, a):
+        return f"sort_array({a})"
+
+    def chain(self, a, b):
+        return f"concat({a}, {b})"
+
+    def union(self, a, b):
+        return f"array_union({a}, {b})"
+
+    def begins(self, t, x):
+        return f"startswith({t}, {x})"
+
+    def stretch(self, a, k, n):
+        """n elements from place k, counted from 0, where n is an expression."""
+        return f"slice({a}, cast({k} as int) + 1, cast({n} as int))"
+
     def sha32(self, t):
         return f"cast(conv(substring(sha2({t}, 256), 1, 8), 16, 10) as bigint)"
 
@@ -172,6 +195,27 @@ class Duck(Spark):
         parts = " || ' ' || ".join(f"({a})[i_ + {k}]" for k in range(1, n + 1))
         return f"list_transform(range(0, greatest(len({a}) - {n - 1}, 0)), lambda i_: {parts})"
 
+    def lookup(self, table, x):
+        return "([" + ", ".join(f"CAST({v} AS DOUBLE)" for v in table.values()) + "])[list_position([" + ", ".join(self.lit(k) for k in table) + f"], {x})]"
+
+    def struct(self, **fields):
+        return "{" + ", ".join(f"'{k}': {v}" for k, v in fields.items()) + "}"
+
+    def sort(self, a):
+        return f"list_sort({a})"
+
+    def chain(self, a, b):
+        return f"list_concat({a}, {b})"
+
+    def union(self, a, b):
+        return f"list_distinct(list_concat({a}, {b}))"
+
+    def begins(self, t, x):
+        return f"starts_with({t}, {x})"
+
+    def stretch(self, a, k, n):
+        return f"list_slice({a}, CAST({k} AS BIGINT) + 1, CAST({k} AS BIGINT) + CAST({n} AS BIGINT))"
+
     def sha32(self, t):
         return f"CAST(('0x' || substr(sha256({t}), 1, 8)) AS UBIGINT)"
 
@@ -186,15 +230,26 @@ def indexed(d: Spark, a: str, body: str, v: str = "w", i: str = "k") -> str:
     return d.map_at(a, v, i, body)
 
 
+def held(x: str) -> str:
+    """A column that a lambda looks at, named twice so that the optimiser does not put what computes it into the lambda."""
+    return f"(0.5D * {x} + 0.5D * {x})"
+
+
 def rounded(x: str, digits: int) -> str:
     """Half up at that digit, in either engine."""
     f = 10**digits
     return f"(floor(({x}) * {f} + 0.5D) / {f})" if digits else f"floor({x} + 0.5D)"
 
 
+class Keep(list):
+    """A layer that keeps the columns it lists, and the id, and drops the others."""
+
+
 @dataclass
 class Operator:
-    """layers(dialect) -> list of {column: expression}; out: the columns returned besides the id."""
+    """layers(dialect) -> list of {column: expression} or Keep; out: the columns returned besides the id.
+
+    A layer may compute a column anew; its expressions see the columns as they were before it."""
 
     layers: object
     out: list[str]
@@ -206,16 +261,22 @@ class Operator:
         """Over a batch or a streaming DataFrame."""
         df = df.select(self.key, *self.extra)
         for layer in self.layers(Spark()):
-            df = df.withColumns({c: F.expr(x) for c, x in layer.items()})
+            df = df.select(self.key, *layer) if isinstance(layer, Keep) else df.withColumns({c: F.expr(x) for c, x in layer.items()})
         return df.select(self.key, *self.out)
 
-    def sql(self) -> str:
-        q = f"SELECT {', '.join([self.key, *self.extra])} FROM {self.source}"
+    def sql(self, source: str | None = None) -> str:
+        q, have = f"SELECT {', '.join([self.key, *self.extra])} FROM {source or self.source}", {self.key, *self.extra}
         for layer in self.layers(Duck()):
-            q = f"SELECT *, {', '.join(f'{_duck_numbers(x)} AS {c}' for c, x in layer.items())} FROM ({q})"
+            if isinstance(layer, Keep):
+                q, have = f"SELECT {', '.join([self.key, *layer])} FROM ({q})", {self.key, *layer}
+                continue
+            again = ", ".join(f"{_duck_numbers(x)} AS {c}" for c, x in layer.items() if c in have)
+            new = "".join(f", {_duck_numbers(x)} AS {c}" for c, x in layer.items() if c not in have)
+            q = f"SELECT *{f' REPLACE ({again})' if again else ''}{new} FROM ({q})"
+            have |= set(layer)
         return f"SELECT {', '.join([self.key, *self.out])} FROM ({q})"
 
 
 def _duck_numbers(x: str) -> str:
     """Spark's double literals (0.5D) as DuckDB writes them."""
-    return re.sub(r"(?<![\w'])(\d+(?:\.\d+)?)D\b", r"CAST(\1 AS DOUBLE)", x)
+    return re.sub(r"(?<![\w'{])(\d+(?:\.\d+)?)D\b", r"CAST(\1 AS DOUBLE)", x)

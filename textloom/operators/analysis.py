@@ -194,7 +194,7 @@ def _opening(d):
     return [
         text(d), {"s": sentences(d, "t")},
         {"f": d.map("s", "x", d.replace(f"lower({d.at(tokens(d, 'x'), 0)})", r"[.,;:]+$", ""))},
-        {"n": d.size("f"), "u": d.uniq("f"), "sorted_": ("array_sort(f)" if d.name == "spark" else "list_sort(f)"), "same": d.size(d.keep(indexed(d, "f", f"<k> > 0 and <w> = {d.at('f', '<k> - 1')}"), "x", "x"))},
+        {"n": d.size("f"), "u": d.uniq("f"), "sorted_": ("sort_array(f)" if d.name == "spark" else "list_sort(f)"), "same": d.size(d.keep(indexed(d, "f", f"<k> > 0 and <w> = {d.at('f', '<k> - 1')}"), "x", "x"))},
         {"marks": d.keep(indexed(d, "sorted_", f"case when <k> = 0 or <w> <> {d.at('sorted_', '<k> - 1')} then <k> else -1 end"), "x", "x >= 0")},
         {"top": d.most(indexed(d, "marks", f"coalesce({d.at('marks', '<k> + 1')}, n) - <w>")), "subj": d.size(d.keep("f", "x", d.has(d.words(SUBJECTS), "x")))},
         {"opening": f"case when n < 5 then 0.5D else {rounded(clamp(f'0.3D * greatest(0D, 1D - (1D * {d.size('u')} / n - 0.2D) / 0.6D) + 0.25D * least(1D * top / n / 0.3D, 1D) + 0.2D * least(1D * subj / n / 0.5D, 1D) + 0.25D * least(1D * same / (n - 1) / 0.15D, 1D)'), 4)} end"},
@@ -236,7 +236,7 @@ def _mechanics(d):
             "open_": d.count("t", r"[(\[{]"), "close_": d.count("t", r"[)\]}]"),
             "alone": d.count(d.replace(d.replace("t", rf"({WS})", "$1$1"), rf"$", " "), rf"(?:^|{WS})i(?:{WS}|[',.!?])"),
         },
-        {"pen": f"case when {d.size('s')} > 0 then bad / {d.size('s')} * 25D else 0D end + least(space * 2, 10) + least(before * 2, 10) + least(again * 3, 12) + least(doubled * 3, 15) + least(abs(open_ - close_) * 3, 10)"},
+        {"pen": f"case when {d.size('s')} > 0 then bad / {d.size('s')} * 25D else 0D end + least(space * 2, 10) + least(before * 2, 10) + least(again * 3, 12) + least(doubled * 3, 15) + least(abs(open_ - close_) * 3, 10) + case when lang = 'en' then least(alone * 2, 10) else 0 end"},
         {"mechanics": f"case when {trimmed(d, 't')} = '' then 100D else {rounded('greatest(0D, least(100D, 100D - pen))', 3)} end", "doubled_words": d.long("doubled"), "unbalanced": d.long("abs(open_ - close_)")},
     ]
 
@@ -262,18 +262,6 @@ def _hidden(d):
     ]
 
 
-def _folded(d):
-    """Look-alike letters in mainly Latin words read as Latin, invisible marks gone."""
-    frm, to = "аеорсухіјѕһкмтвнёАЕОРСУХІВНКМТЅЈ", "aeopcyxijshkmtbheAEOPCYXIBHKMTSJ"
-    n = lambda p: d.count("x", p)
-    fold = f"case when {n('[A-Za-z]')} > 0 and {n(f'[{frm}]')} > 0 and {n('[A-Za-z]')} >= {n(f'[{frm}]')} then translate(x, '{frm}', '{to}') else x end"
-    return [
-        text(d), {"a": d.replace("t", INVISIBLE, "")}, {"w": d.map(d.split("a", " "), "x", fold)},
-        {"folded": d.join("w", " ")},
-        {"folded_md5": "md5(folded)", "changed": "folded <> t", "lang_sniff": f"case when {d.count('substring(t, 1, 4000)', '[Ѐ-ӿ]')} > {d.count('substring(t, 1, 4000)', '[A-Za-z]')} then case when {d.matches('substring(t, 1, 4000)', '[іїєґІЇЄҐ]')} then 'uk' else 'ru' end else 'en' end"},
-    ]
-
-
 def _green_list(d):
     word, seed = d.at("w", "<k> + 1"), d.sha32("<w>")
     step = f"case when {word} is not null and {d.sha32(f"concat(cast({seed} as varchar(20)), ':', {word})")} % 10000 < 2500 then 1 else 0 end"
@@ -306,10 +294,9 @@ OPERATORS = {
     "metric_opening": Operator(_opening, ["opening"], extra=["text"]),
     "metric_rhythm": Operator(_rhythm, ["rhythm"], extra=["text"]),
     "metric_readability_consistency": Operator(_tiles, ["readability_consistency"], extra=["text"]),
-    "grammar_mechanics": Operator(_mechanics, "mechanics doubled_words unbalanced".split(), extra=["text"]),
+    "grammar_mechanics": Operator(_mechanics, "mechanics doubled_words unbalanced".split(), extra=["text", "lang"]),
     "diversity_grade": Operator(_diversity, "diversity grade".split(), extra=["text"]),
     "watermark_hidden_characters": Operator(_hidden, "zero_width_count format_count multi_space types cleaned_length cleaned_md5 confidence".split(), extra=["text"]),
-    "anti_evasion_fold": Operator(_folded, "folded_md5 changed lang_sniff".split(), extra=["text"]),
     "watermark_green_list": Operator(_green_list, "green_count z_score p_value flagged".split(), extra=["text"]),
     "article_fix": Operator(_article, "fixed_md5 changed".split(), extra=["text"]),
 }

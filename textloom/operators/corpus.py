@@ -1,4 +1,4 @@
-"""Operators over many rows: counts, entropy, keywords, pair similarity, usage counters, pages and their builders.
+"""Operators over many rows: counts, entropy, keywords, pair similarity, usage counters, blocks of pages.
 
 Counts are aggregated in the map stage before they are shuffled; small rule tables are broadcast, their size is fixed by
 the code. Streams take the same functions where their aggregates allow it.
@@ -10,7 +10,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.dialect import Spark
-from textloom.operators.analysis import OPERATORS, T2, T4, T4U
+from textloom.operators.analysis import T2, T4, T4U
+from textloom.operators.detector import OPERATORS as _DETECTOR
+from textloom.operators.detector import WEIGHTS
+
+DETECT = _DETECTOR["detect"]
 
 _D = Spark()
 
@@ -27,17 +31,6 @@ his her our mine yours ours also one two get got make made like really actually
 них какая много разве три эту моя впрочем хорошо свою этой перед иногда лучше чуть том нельзя такой им более всегда конечно всю между это
 её очень""".split()))
 
-#: Host suffixes that show how a site was built, in order of precedence: suffix, platform, kind.
-HOST_RULES = [
-    ("lovable.app", "Lovable", "ai-builder"), ("bolt.host", "Bolt", "ai-builder"), ("replit.app", "Replit", "ai-builder"),
-    ("base44.app", "Base44", "ai-builder"), ("framer.app", "Framer", "builder"), ("webflow.io", "Webflow", "builder"),
-    ("wixsite.com", "Wix", "builder"), ("squarespace.com", "Squarespace", "builder"), ("carrd.co", "Carrd", "builder"),
-    ("wordpress.com", "WordPress", "cms"), ("ghost.io", "Ghost", "cms"), ("gitbook.io", "GitBook", "docs"),
-    ("myshopify.com", "Shopify", "ecommerce"), ("vercel.app", "Vercel", "framework"), ("netlify.app", "Netlify", "framework"),
-]
-#: The probability that a kind starts from.
-KIND_BASE = {"ai-builder": 0.9, "builder": 0.5, "cms": 0.25, "docs": 0.16, "ecommerce": 0.08, "framework": 0.1}
-
 
 def words(pattern: str, text: str = "coalesce(text, '')") -> Column:
     return F.expr(_D.extract(f"lower({text})", pattern))
@@ -137,10 +130,17 @@ SELECT doc_id, rank, ngram, count FROM r WHERE rank <= 25
 
 
 def pair_similarity(docs: DataFrame, items: DataFrame, n: int = 3) -> DataFrame:
-    """Jaccard index of word n-gram sets, for pairs of a document and an item that share one; pairs come from the grams."""
-    a = docs.select("doc_id", F.array_distinct(F.expr(_D.grams(_D.extract("lower(coalesce(text, ''))", T4U), n))).alias("g")).withColumn("na", F.size("g"))
-    b = items.select("item_id", F.array_distinct(F.expr(_D.grams(_D.extract("lower(coalesce(text, ''))", T4U), n))).alias("g")).withColumn("nb", F.size("g"))
-    met = a.select("doc_id", "na", F.explode("g").alias("x")).join(b.select("item_id", "nb", F.explode("g").alias("x")), "x")
+    """Jaccard index of word n-gram sets, for pairs of a document and an item that share one; pairs come from the grams.
+
+    Words are a column of their own before they are paired, so a text is searched once; the join is on hashes of grams,
+    and a pair's shared grams are counted by the grams themselves."""
+    def grams(df: DataFrame, key: str, size: str) -> DataFrame:
+        w = df.select(key, F.expr(_D.extract("lower(coalesce(text, ''))", T4U)).alias("w"))
+        g = w.select(key, F.array_distinct(F.expr(_D.grams("w", n))).alias("g"))
+        return g.select(key, F.size("g").alias(size), F.explode("g").alias("x")).withColumn("h", F.xxhash64("x"))
+
+    a, b = grams(docs, "doc_id", "na"), grams(items, "item_id", "nb")
+    met = a.join(b.withColumnRenamed("x", "y"), "h").where("x = y")
     c = met.groupBy("doc_id", "item_id", "na", "nb").agg(F.count(F.lit(1)).alias("shared"))
     return c.select("doc_id", "item_id", F.col("shared").alias("shared_ngrams"), F.expr("floor(shared / (na + nb - shared) * 10000 + 0.5D) / 10000").alias("similarity"))
 
@@ -176,20 +176,18 @@ SELECT user_id, event_id, event_type, value, given FROM (
 
 
 def metric_separation(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Mean of each metric over rows of either label, and their difference."""
-    out = None
-    for name, column in (("burstiness", "burstiness"), ("punctuation", "punctuation"), ("opening", "opening"), ("rhythm", "rhythm")):
-        part = OPERATORS[f"metric_{name}"].apply(docs).select("doc_id", F.lit(name).alias("metric"), F.col(column).alias("v"))
-        out = part if out is None else out.unionByName(part)
-    joined = out.join(labels.select("doc_id", "quality"), "doc_id")
+    """Mean of each of the detector's measures over rows of either label, and their difference: one pass over the texts."""
+    scored = DETECT.apply(docs).select("doc_id", *WEIGHTS).join(labels.select("doc_id", "quality"), "doc_id")
+    pairs = ", ".join(f"'{m}', {m}" for m in WEIGHTS)
+    long = scored.select("quality", F.expr(f"stack({len(WEIGHTS)}, {pairs}) as (metric, v)"))
     mean = lambda q: F.avg(F.when(F.col("quality") == q, F.col("v")))
-    r = joined.groupBy("metric").agg(F.count(F.lit(1)).alias("labelled"), mean(1).alias("a"), mean(0).alias("b"))
+    r = long.groupBy("metric").agg(F.count(F.lit(1)).alias("labelled"), mean(1).alias("a"), mean(0).alias("b"))
     return r.select("metric", "labelled", *[F.expr(f"floor({x} * 1000 + 0.5D) / 1000").alias(n) for n, x in (("mean_good", "a"), ("mean_bad", "b"), ("separation", "(a - b)"))])
 
 
 def separation_sql() -> str:
-    parts = " UNION ALL ".join(f"SELECT doc_id, '{n}' AS metric, {n} AS v FROM ({OPERATORS[f'metric_{n}'].sql()})" for n in ("burstiness", "punctuation", "opening", "rhythm"))
-    return f"""WITH m AS ({parts}), r AS (SELECT metric, count(*) AS labelled, avg(v) FILTER (quality = 1) AS a, avg(v) FILTER (quality = 0) AS b FROM m JOIN labels USING (doc_id) GROUP BY metric)
+    parts = " UNION ALL ".join(f"SELECT doc_id, '{m}' AS metric, {m} AS v FROM d" for m in WEIGHTS)
+    return f"""WITH d AS ({DETECT.sql()}), m AS ({parts}), r AS (SELECT metric, count(*) AS labelled, avg(v) FILTER (quality = 1) AS a, avg(v) FILTER (quality = 0) AS b FROM m JOIN labels USING (doc_id) GROUP BY metric)
     SELECT metric, labelled, floor(a * 1000 + 0.5) / 1000 AS mean_good, floor(b * 1000 + 0.5) / 1000 AS mean_bad, floor((a - b) * 1000 + 0.5) / 1000 AS separation FROM r"""
 
 
@@ -220,52 +218,6 @@ SELECT page_id, rank, substr(block, 1, 600) AS block FROM k WHERE rank <= 40
 """
 
 
-def _host(url: Column) -> Column:
-    return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/:?#]*)", 1))
-
-
-def site_platform(pages: DataFrame) -> DataFrame:
-    """Host suffixes at dots against the rules: the first rule that holds. A join on the suffix, not a scan of rules."""
-    rules = F.broadcast(pages.sparkSession.createDataFrame([(s, p, k, n, KIND_BASE[k]) for n, (s, p, k) in enumerate(HOST_RULES)], "suffix string, platform string, kind string, ord int, base double"))
-    p = pages.select("page_id", _host(F.col("url")).alias("host"))
-    suffix = p.select("page_id", "host", F.explode(F.expr(r"transform(sequence(1, size(split(host, '\\.'))), k -> array_join(slice(split(host, '\\.'), k, size(split(host, '\\.'))), '.'))")).alias("suffix"))
-    hit = suffix.join(rules, "suffix").groupBy("page_id").agg(F.min(F.struct("ord", "platform", "kind", "base")).alias("x"))
-    r = p.join(hit, "page_id", "left")
-    base = F.coalesce("x.base", F.lit(0.06))
-    return r.select("page_id", "host", F.coalesce("x.platform", F.lit("unknown")).alias("platform"), F.coalesce("x.kind", F.lit("none")).alias("kind"), base.alias("ai_built"), F.when(base >= 0.6, "ai").when(base >= 0.35, "mixed").otherwise("human").alias("verdict"))
-
-
-def site_sql() -> str:
-    rules = ", ".join(f"('{s}', '{p}', '{k}', {n}, CAST({KIND_BASE[k]} AS DOUBLE))" for n, (s, p, k) in enumerate(HOST_RULES))
-    return f"""
-WITH rules(suffix, platform, kind, ord, base) AS (VALUES {rules}),
-p AS (SELECT page_id, lower(regexp_extract(coalesce(url, ''), '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/:?#]*)', 1)) AS host FROM pages),
-h AS (SELECT page_id, arg_min(rules, ord) AS x FROM p JOIN rules ON p.host = rules.suffix OR p.host LIKE '%.' || rules.suffix GROUP BY page_id)
-SELECT p.page_id, host, coalesce(x.platform, 'unknown') AS platform, coalesce(x.kind, 'none') AS kind, coalesce(x.base, 0.06) AS ai_built,
-  CASE WHEN coalesce(x.base, 0.06) >= 0.6 THEN 'ai' WHEN coalesce(x.base, 0.06) >= 0.35 THEN 'mixed' ELSE 'human' END AS verdict
-FROM p LEFT JOIN h USING (page_id)
-"""
-
-
-def scan_page(pages: DataFrame) -> DataFrame:
-    """The report of a page: its blocks, their words and mean burstiness-free signals, and how its site was built."""
-    b = page_blocks(pages)
-    n = F.expr(_D.count("block", r"[^\x09-\x0D\x20]+"))
-    per = b.groupBy("page_id").agg(F.count(F.lit(1)).alias("blocks"), F.sum(n).alias("words"), F.max(F.length("block")).alias("longest"))
-    r = site_platform(pages).join(per, "page_id", "left")
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
-    return r.select("page_id", "platform", "kind", "verdict", zero("blocks"), zero("words"), zero("longest"))
-
-
-def scan_sql() -> str:
-    return f"""
-WITH b AS ({BLOCKS_SQL}), s AS ({site_sql()}),
-g AS (SELECT page_id, count(*) AS blocks, sum(len(regexp_extract_all(block, '[^\\x09-\\x0D\\x20]+'))) AS words, max(length(block)) AS longest FROM b GROUP BY page_id)
-SELECT page_id, platform, kind, verdict, CAST(coalesce(blocks, 0) AS BIGINT) AS blocks, CAST(coalesce(words, 0) AS BIGINT) AS words, CAST(coalesce(longest, 0) AS BIGINT) AS longest
-FROM s LEFT JOIN g USING (page_id)
-"""
-
-
 #: Phrases by kind whose occurrences are counted, each on its own, and the weight of a kind.
 MARKERS = {
     "adverb": (1.5, ["significantly", "substantially", "particularly", "specifically", "notably", "effectively", "ultimately", "consequently"]),

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.functions.dialect import WS, Operator, _duck_numbers, indexed, rounded
+from textloom.functions.dialect import WS, Operator, _duck_numbers, held, indexed, rounded
 from textloom.operators.analysis import T4, T4U, clamp, lengths, moments, sentences, squares, text, tokens, trimmed
 
 WORD = r"\p{L}\p{N}_"
@@ -75,7 +75,7 @@ def runs(d, name: str, a: str) -> list[dict]:
     """Layers that end in <name>: how often each distinct element of list a occurs, in order of the elements."""
     s, m = f"{name}_sorted", f"{name}_starts"
     return [
-        {s: f"array_sort({a})" if d.name == "spark" else f"list_sort({a})"},
+        {s: f"sort_array({a})" if d.name == "spark" else f"list_sort({a})"},
         {m: d.keep(indexed(d, s, f"case when <k> = 0 or <w> <> {d.at(s, '<k> - 1')} then <k> else -1 end"), "x", "x >= 0")},
         {name: indexed(d, m, f"coalesce({d.at(m, '<k> + 1')}, {d.size(s)}) - <w>")},
     ]
@@ -273,7 +273,7 @@ def _perplexity(d):
         *runs(d, "gf", "g"), *runs(d, "cf", "ctx"), *runs(d, "wf", "w"),
         {"v": f"1D * {d.size(d.uniq('c'))}", "n": f"1D * {d.size('w')}", "ng": f"1D * {d.size('g')}", "len": d.keep(d.map(sentences(d, "t"), "x", d.count("lower(x)", T4)), "x", "x > 0")},
         {
-            "cpp": f"case when {d.size('c')} < 5 then 0D else pow(2D, ({logs('cf', 'v')} - {logs('gf', '1D')}) / ng / ln(2D)) end",
+            "cpp": f"case when {d.size('c')} < 5 then 0D else pow(2D, ({logs('cf', held('v'))} - {logs('gf', '1D')}) / ng / ln(2D)) end",
             "hw": bits(d, "wf", "n"), "again": f"case when n < 3 then 0D else 1D - 1D * {d.size(d.uniq('pairs'))} / {d.size('pairs')} end",
             "ttr": f"case when n < 100 then 1D * {d.size('wf')} / greatest(n, 1D) else {d.total(d.map(d.seq(d.integer_part(d.size('w'), 100)), 'i_', f'{d.size(d.uniq(d.part("w", "i_ * 100", 100)))} / 100D'))} / {d.integer_part(d.size('w'), 100)} end",
             "hapax": f"1D * {d.size(d.keep('wf', 'x', 'x = 1'))} / greatest(1D, 1D * {d.size('wf')})",

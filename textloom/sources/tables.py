@@ -1,4 +1,4 @@
-"""Where tables come from: Parquet folders, language packs as JSON, files as bytes."""
+"""Where tables come from: Parquet folders and files as bytes."""
 
 from __future__ import annotations
 
@@ -10,16 +10,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def language_packs(spark: SparkSession, path: str) -> DataFrame:
-    """JSON packs, one file for each language -> lexicon(lang, category, term, ord). A missing pack is simply absent: join
-    it from the left and a document's language has no terms."""
-    raw = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), F.from_json("value", "stop_words array<string>, abbreviations array<string>, conjunctions array<string>, colloquial_markers array<string>").alias("p"))
-    lang = F.regexp_extract("file", r"([^/]+)\.json$", 1)
-    lists = F.explode(F.create_map(*[x for c in ("stop_words", "abbreviations", "conjunctions", "colloquial_markers") for x in (F.lit(c), F.col(f"p.{c}"))]))
-    long = raw.select(lang.alias("lang"), lists.alias("category", "terms"))
-    return long.select("lang", "category", F.posexplode("terms").alias("ord", "term"))
-
-
 def media(spark: SparkSession, path: str, largest: int = 25 << 20) -> DataFrame:
     """Files as bytes, up to a size, with the format that their first bytes show."""
     files = spark.read.format("binaryFile").load(path).where(F.col("length") <= largest)
