@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.operators import analysis, corpus, detector, language, pages, signals, style
+from textloom.operators import analysis, corpus, detector, language, pages, rewrite, signals, style
 from textloom.sources import packs
 from textloom.sources.tables import table
 
-OPERATORS = analysis.OPERATORS | style.OPERATORS | detector.OPERATORS | signals.OPERATORS
+OPERATORS = analysis.OPERATORS | style.OPERATORS | detector.OPERATORS | signals.OPERATORS | rewrite.OPERATORS
 Query = Callable[[SparkSession, str], DataFrame]
 
 
