@@ -66,7 +66,7 @@ def best_cut(weights: list[tuple[float, bool]]) -> float:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_rows: int = 20_000) -> Weights:
     """Raw counts cover all documents. Labelled text is a sample: about label_rows rows chosen by a hash of their id, which
-    bounds what is broadcast and collected."""
+    bounds what is broadcast and collected. The cut is learned from weights that leave out a text's own part."""
     spark = docs.sparkSession
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     share = min(1.0, label_rows / max(1, known.count()))
@@ -78,21 +78,34 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     target = n[1] if n[1].sum() else n[0]
     p = [(x + 0.05) / (x.sum() + 0.05 * BINS) for x in (target, n[0])]
     bins = np.log(p[0] / p[1])
-    model = spark.sparkContext.broadcast(bins)
-    scored = texts.where("quality is not null").select("doc_id", "text", "quality").mapInArrow(_weigh(model, True), "doc_id long, weight double, quality int").select("weight", "quality").collect()
+    model = spark.sparkContext.broadcast((target, np.log(p[1])))
+    scored = texts.where("quality is not null").select("text", "quality").mapInArrow(_weigh_labelled(model), "weight double, quality int").collect()
     return Weights(bins, best_cut([(r["weight"], r["quality"] > 0) for r in scored]))
 
 
-def _weigh(model, labelled: bool = False):
+def _weigh(model):
     def run(batches):
         hashes = WordHash()
         for batch in batches:
             w = [float(model.value[features(t.as_py(), hashes)].sum()) for t in batch.column(1)]
-            columns, names = [batch.column(0), pa.array(w, pa.float64())], ["doc_id", "weight"]
-            if labelled:
-                columns.append(batch.column(2))
-                names.append("quality")
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(w, pa.float64())], names=["doc_id", "weight"])
+
+    return run
+
+
+def _weigh_labelled(model):
+    """Weights of labelled texts, of good ones without what they themselves gave to the target: an unseen text's are no
+    higher, so the cut must not be either."""
+
+    def run(batches):
+        hashes, (target, raw) = WordHash(), model.value
+        for batch in batches:
+            w = []
+            for text, quality in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                at, own = np.unique(features(text.as_py(), hashes), return_counts=True)
+                gave = own if quality else 0
+                w.append(float((own * (np.log((target[at] - gave + 0.05) / (target.sum() - np.sum(gave) + 0.05 * BINS)) - raw[at])).sum()))
+            yield pa.RecordBatch.from_arrays([pa.array(w, pa.float64()), batch.column(1)], names=["weight", "quality"])
 
     return run
 
