@@ -9,8 +9,8 @@ import pytest
 from textloom.operators import corpus
 from textloom.plans import registry
 from textloom.plans.registry import OPERATORS
-from textloom.sources.tables import media_format
-from textloom.streaming.events import counters, scored, windowed
+from textloom.sources.tables import data_urls, media_format, write_replies
+from textloom.streaming.events import counters, flushed, overrides, sanitized, scored, windowed
 
 SF = "/root/testdata/sf0.001"
 
@@ -159,5 +159,34 @@ def test_clean_text_has_no_marks_and_marked_text_has(spark):
     folded = one(spark, "anti_evasion_fold", "cоmprehensive wоrds Привет мир")
     assert folded.changed and not one(spark, "anti_evasion_fold", plain_text).changed
     docs = spark.createDataFrame([(1, "However, it is crucial. Furthermore, we leverage robust tools."), (2, plain_text)], "doc_id long, text string")
-    got = {r.doc_id: r for r in corpus.marker_counts(docs).collect()}
-    assert got[1].connector == 2 and got[1].adjective == 2 and got[1].verb == 1 and got[2].density == 0
+    got = {r.doc_id: r for r in OPERATORS["marker_counts"].apply(docs.selectExpr("*", "'en' as lang")).collect()}
+    assert got[1].connectors == 2 and got[1].adjectives == 2 and got[1].verbs == 1 and got[2].density == 0
+
+
+def test_texts_are_compared_by_grams_words_or_nothing(spark):
+    df = spark.createDataFrame([(1, "a b c d", "a b c d"), (2, "a b c d", "x y z w"), (3, "a b", "b a"), (4, "", None), (5, "a b", "c d e"), (6, "a b c d", "a b c e")], "id long, a string, b string")
+    assert {r.id: r.similarity for r in corpus.compare_texts(df).collect()} == {1: 1.0, 2: 0.0, 3: 1.0, 4: 1.0, 5: 0.0, 6: 0.3333}
+
+
+def test_addresses_that_hold_their_data(spark, tmp_path):
+    rows = [(1, "data:image/png;base64,iVBORw=="), (2, "data:,a%20b+c"), (3, "https://x.org"), (4, "data:;base64,@@@"), (5, None), (6, "data:,%zz"), (7, "data:,toolong")]
+    got = data_urls(spark.createDataFrame(rows, "id long, url string"), largest=5)
+    r = {x.id: (None if x.content is None else bytes(x.content), x.error) for x in got.collect()}
+    assert r == {1: (b"\x89PNG", None), 2: (b"a b+c", None), 3: (None, "unsupported"), 4: (None, "undecodable"), 5: (None, "unsupported"), 6: (None, "undecodable"), 7: (None, "too large")}
+    write_replies(got, str(tmp_path / "replies"))
+    assert spark.read.parquet(str(tmp_path / "replies")).where("ok").count() == 2
+
+
+def test_events_are_sanitised_sent_and_the_last_word_wins(spark, tmp_path):
+    rows = [(1, '{"a": 1, "b": true, "c": "' + "x" * 60 + '", "d": [1], "e": {"f": 2}, "g": null}'), (2, None), (3, "broken")]
+    df = spark.createDataFrame(rows, "event_id long, props string")
+    got = {r.event_id: r.params for r in sanitized(df).collect()}
+    assert got == {1: {"a": "1", "b": "true", "c": "x" * 40}, 2: {}, 3: {}}
+    df.write.parquet(str(tmp_path / "in"))
+    sent = []
+    q = flushed(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), lambda b: sent.append(b.count()), str(tmp_path / "c"), "1 second").start()
+    q.processAllAvailable()
+    q.stop()
+    assert sum(sent) == 3
+    said = spark.createDataFrame([("x", "ai", 1), ("x", "human", 3), ("x", "ai", 2), ("y", "maybe", 9), (None, "ai", 1)], "host string, label string, ts long")
+    assert [tuple(r) for r in overrides(said).collect()] == [("x", "human")]

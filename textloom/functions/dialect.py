@@ -77,6 +77,10 @@ class Spark:
     def has(self, a, x):
         return f"array_contains({a}, {x})"
 
+    def among(self, x, xs):
+        """Whether x is one of fixed strings: a look-up in a set, not a walk along a list."""
+        return f"({x} in (" + ", ".join(self.lit(v) for v in dict.fromkeys(xs)) + "))"
+
     def both(self, a, b):
         return f"array_intersect({a}, {b})"
 

@@ -155,16 +155,17 @@ def _uniqueness(d):
     ]
 
 
-def _opinion(words: list[str]) -> str:
+def _opinion(d, x: str, words: list[str]) -> str:
+    """Whether x is an opinion word or, in Cyrillic, begins with one of four letters and more."""
     stems = [w for w in words if len(w) >= 4 and any("а" <= c <= "я" or c == "ё" for c in w)]
-    return rf"^(?:{'|'.join(words)})$|^(?:{'|'.join(stems)})"
+    return f"({d.among(x, words)} or ({d.matches(x, '^[а-яё]')} and {d.matches(x, '^(?:' + '|'.join(stems) + ')')}))"
 
 
 def _sentiment(d):
-    before = lambda k, xs: f"coalesce({d.has(d.words(xs), d.at('w', f'<k> - {k}'))}, false)"
+    before = lambda k, xs: f"coalesce({d.among(d.at('w', f'<k> - {k}'), xs)}, false)"
     weight = f"case when <k> >= 1 and {before(1, INTENSIFIERS)} then 1.5D else 1D end"
     turned = f"((<k> >= 1 and {before(1, NEGATIONS)}) or (<k> >= 2 and {before(2, NEGATIONS)}))"
-    good, bad = d.matches("<w>", _opinion(POSITIVE)), d.matches("<w>", _opinion(NEGATIVE))
+    good, bad = _opinion(d, "<w>", POSITIVE), _opinion(d, "<w>", NEGATIVE)
     signed = f"case when {good} then {weight} * case when {turned} then -1D else 1D end when {bad} then {weight} * case when {turned} then 1D else -1D end else 0D end"
     return [
         text(d),
@@ -196,7 +197,7 @@ def _opening(d):
         {"f": d.map("s", "x", d.replace(f"lower({d.at(tokens(d, 'x'), 0)})", r"[.,;:]+$", ""))},
         {"n": d.size("f"), "u": d.uniq("f"), "sorted_": ("sort_array(f)" if d.name == "spark" else "list_sort(f)"), "same": d.size(d.keep(indexed(d, "f", f"<k> > 0 and <w> = {d.at('f', '<k> - 1')}"), "x", "x"))},
         {"marks": d.keep(indexed(d, "sorted_", f"case when <k> = 0 or <w> <> {d.at('sorted_', '<k> - 1')} then <k> else -1 end"), "x", "x >= 0")},
-        {"top": d.most(indexed(d, "marks", f"coalesce({d.at('marks', '<k> + 1')}, n) - <w>")), "subj": d.size(d.keep("f", "x", d.has(d.words(SUBJECTS), "x")))},
+        {"top": d.most(indexed(d, "marks", f"coalesce({d.at('marks', '<k> + 1')}, n) - <w>")), "subj": d.size(d.keep("f", "x", d.among("x", SUBJECTS)))},
         {"opening": f"case when n < 5 then 0.5D else {rounded(clamp(f'0.3D * greatest(0D, 1D - (1D * {d.size('u')} / n - 0.2D) / 0.6D) + 0.25D * least(1D * top / n / 0.3D, 1D) + 0.2D * least(1D * subj / n / 0.5D, 1D) + 0.25D * least(1D * same / (n - 1) / 0.15D, 1D)'), 4)} end"},
     ]
 

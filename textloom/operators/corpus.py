@@ -163,6 +163,49 @@ def usage_counters(events: DataFrame) -> DataFrame:
 USAGE_SQL = "SELECT event_type, count(*) AS events, min(ts) AS first_seen, max(ts) AS last_seen, count(user_id) AS with_user FROM events GROUP BY event_type"
 
 
+def usage_by_tool(events: DataFrame) -> DataFrame:
+    """Counts with first and last time for each kind of event and tool, the tool a text in the event's parameters; events
+    without one count under the empty tool."""
+    tool = F.coalesce(F.get_json_object("props", "$.tool"), F.lit(""))
+    return events.groupBy("event_type", tool.alias("tool")).agg(F.count(F.lit(1)).alias("events"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"))
+
+
+TOOL_SQL = "SELECT event_type, coalesce(props::JSON ->> '$.tool', '') AS tool, count(*) AS events, min(ts) AS first_seen, max(ts) AS last_seen FROM events GROUP BY ALL"
+
+
+def feedback_log(events: DataFrame, keep: int = 800) -> DataFrame:
+    """The latest events, newest first by time and id: a top-k of partial top-ks, not a sort of all."""
+    return events.orderBy(F.desc("ts"), F.desc("event_id")).limit(keep).select("event_id", "user_id", "event_type", "value")
+
+
+FEEDBACK_LOG_SQL = "SELECT event_id, user_id, event_type, value FROM events ORDER BY ts DESC, event_id DESC LIMIT 800"
+
+
+def compare_texts(pairs: DataFrame, n: int = 3) -> DataFrame:
+    """Jaccard index of the word n-gram sets of two texts, a and b; of their word sets where neither has an n-gram; two
+    texts without words are equal. Null texts are empty."""
+    w = pairs.withColumns({f"w_{x}": F.expr(_D.extract(f"lower(coalesce({x}, ''))", T4U)) for x in "ab"})
+    g = w.withColumns({f"g_{x}": F.expr(f"array_distinct({_D.grams(f'w_{x}', n)})") for x in "ab"})
+    g = g.withColumns({f"s_{x}": F.expr(f"case when size(g_a) = 0 and size(g_b) = 0 then array_distinct(w_{x}) else g_{x} end") for x in "ab"})
+    both = "size(array_intersect(s_a, s_b))"
+    score = F.expr(f"case when size(s_a) = 0 and size(s_b) = 0 then 1D else floor({both} / (size(s_a) + size(s_b) - {both}) * 10000 + 0.5D) / 10000 end")
+    return g.select(*[c for c in pairs.columns if c not in ("a", "b")], score.alias("similarity"))
+
+
+def turn_similarity(conversations: DataFrame) -> DataFrame:
+    """Each turn against the one before it in its conversation; the first against nothing."""
+    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    return compare_texts(conversations.select("conv_id", "turn", F.col("text").alias("a"), before.alias("b")))
+
+
+TURN_SQL = f"""
+WITH p AS (SELECT conv_id, turn, regexp_extract_all(lower(coalesce(text, '')), '{T4U}') AS a, regexp_extract_all(lower(coalesce(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), '')), '{T4U}') AS b FROM conversations),
+g AS (SELECT *, list_distinct(list_transform(range(1, greatest(len(a) - 1, 1)), lambda i: a[i] || ' ' || a[i+1] || ' ' || a[i+2])) AS ga, list_distinct(list_transform(range(1, greatest(len(b) - 1, 1)), lambda i: b[i] || ' ' || b[i+1] || ' ' || b[i+2])) AS gb FROM p),
+s AS (SELECT conv_id, turn, CASE WHEN len(ga) = 0 AND len(gb) = 0 THEN list_distinct(a) ELSE ga END AS x, CASE WHEN len(ga) = 0 AND len(gb) = 0 THEN list_distinct(b) ELSE gb END AS y FROM g)
+SELECT conv_id, turn, CASE WHEN len(x) = 0 AND len(y) = 0 THEN CAST(1 AS DOUBLE) ELSE floor(len(list_intersect(x, y)) / (len(x) + len(y) - len(list_intersect(x, y))) * 10000 + 0.5) / 10000 END AS similarity FROM s
+"""
+
+
 def latest_feedback(events: DataFrame) -> DataFrame:
     """The last word of each user: the type and value of the event with the greatest time, then the greatest id."""
     last = events.groupBy("user_id").agg(F.max(F.struct("ts", "event_id", "event_type", "value")).alias("x"), F.count(F.lit(1)).alias("given"))
@@ -218,39 +261,8 @@ SELECT page_id, rank, substr(block, 1, 600) AS block FROM k WHERE rank <= 40
 """
 
 
-#: Phrases by kind whose occurrences are counted, each on its own, and the weight of a kind.
-MARKERS = {
-    "adverb": (1.5, ["significantly", "substantially", "particularly", "specifically", "notably", "effectively", "ultimately", "consequently"]),
-    "adjective": (1.3, ["comprehensive", "crucial", "pivotal", "innovative", "robust", "seamless", "holistic", "nuanced"]),
-    "verb": (1.5, ["utilize", "leverage", "facilitate", "foster", "enhance", "streamline", "optimize", "delve"]),
-    "connector": (2.0, ["however", "furthermore", "moreover", "nevertheless", "additionally", "therefore", "thus", "in conclusion", "it is important to note"]),
-    "phrase": (3.0, ["plays a crucial role", "in today's world", "a wide range of", "in order to", "first and foremost"]),
-}
-
-
-def marker_counts(docs: DataFrame) -> DataFrame:
-    """Occurrences of each phrase, each counted on its own, weighted by kind and set against the words of the text."""
-    t = F.lower(F.coalesce("text", F.lit("")))
-    d = docs.select("doc_id", t.alias("t")).withColumn("words", F.expr(_D.count("t", r"[^\x09-\x0D\x20]+")))
-    per = {k: F.expr(f"aggregate(transform({_D.words(ms)}, m -> (length(t) - length(replace(t, m, ''))) div length(m)), 0L, (a, b) -> a + b)") for k, (_, ms) in MARKERS.items()}
-    d = d.withColumns({k: c for k, c in per.items()})
-    weighted = " + ".join(f"{w}D * {k}" for k, (w, _) in MARKERS.items())
-    return d.select("doc_id", *MARKERS, F.expr(f"floor(case when words > 0 then ({weighted}) / words else 0D end * 10000 + 0.5D) / 10000").alias("density"))
-
-
-def marker_sql() -> str:
-    lists = {k: "[" + ", ".join("'" + m.replace("'", "''") + "'" for m in ms) + "]" for k, (_, ms) in MARKERS.items()}
-    per = ", ".join(f"CAST(list_sum(list_transform({x}, lambda m: (length(t) - length(replace(t, m, ''))) // length(m))) AS BIGINT) AS {k}" for k, x in lists.items())
-    weighted = " + ".join(f"CAST({w} AS DOUBLE) * {k}" for k, (w, _) in MARKERS.items())
-    return f"""
-WITH t AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents),
-c AS (SELECT doc_id, len(regexp_extract_all(t, '[^\\x09-\\x0D\\x20]+')) AS words, {per} FROM t)
-SELECT doc_id, {', '.join(MARKERS)}, floor(CASE WHEN words > 0 THEN ({weighted}) / words ELSE 0 END * 10000 + 0.5) / 10000 AS density FROM c
-"""
-
-
 def similar_turns(conversations: DataFrame) -> DataFrame:
-    """Words of the turns of each role, averaged: what profiles of several texts are built from."""
+    """Turns and words of each role, and words a turn."""
     n = F.expr(_D.count("coalesce(text, '')", r"[^\x09-\x0D\x20]+"))
     g = conversations.groupBy("role").agg(F.count(F.lit(1)).alias("turns"), F.sum(n).alias("words"), F.avg(n).alias("m"))
     return g.select("role", "turns", "words", F.expr("floor(m * 1000 + 0.5D) / 1000").alias("mean_words"))

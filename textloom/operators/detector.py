@@ -203,7 +203,7 @@ def _trigrams(d) -> list[dict]:
 
 
 def _member(d, words: list[str], x: str = "x") -> str:
-    return d.has(d.words(words), x)
+    return d.among(x, words)
 
 
 def _entity(d) -> list[dict]:
@@ -342,6 +342,16 @@ def _single(measure, name: str, *more: str) -> Operator:
     return Operator(layered([(measure, name)]), [name, *more], extra=["text", "lang"])
 
 
+def _markers(d) -> list[dict]:
+    """Occurrences of the stock words and phrases of a text's language, each counted on its own, by kind."""
+    kinds = ["adverbs", "adjectives", "verbs", "connectors", "phrases"]
+    weights = {"adverbs": 1.5, "adjectives": 1.3, "verbs": 1.5, "connectors": 2, "phrases": 3}
+    return [
+        *_base(d), {f"m_{k}": _by_lang(d, k) for k in kinds}, {f"n_{k}": _occurrences(d, f"m_{k}") for k in kinds},
+        {k: d.long(f"n_{k}") for k in kinds} | {"density": rounded(f"case when n_words > 0 then ({' + '.join(f'{w}D * n_{k}' for k, w in weights.items())}) / n_words else 0D end", 4)},
+    ]
+
+
 def _fold(d) -> list[dict]:
     """Look-alike letters in mainly Latin words read as Latin, invisible marks gone."""
     return [
@@ -352,6 +362,7 @@ def _fold(d) -> list[dict]:
 
 OPERATORS = {
     "anti_evasion_fold": Operator(_fold, ["folded_md5", "changed", "lang_sniff"], extra=["text"]),
+    "marker_counts": Operator(_markers, ["adverbs", "adjectives", "verbs", "connectors", "phrases", "density"], extra=["text", "lang"]),
     "metric_pattern": _single(_pattern, "pattern", "marker_density", "hedge_count", "enum_count"),
     "metric_grammar": _single(_grammar, "grammar"),
     "metric_perplexity": _Detector(layered([(_trigrams, "perplexity")]), ["perplexity"], extra=["text", "lang"]),

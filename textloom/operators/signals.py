@@ -58,7 +58,7 @@ def _tone_count(d, lang: str, kind: str) -> str:
     words = lexicon.TONE[lang].get(kind, [])
     plain = [w for w in words if all(c.isalnum() or c in "'’-" for c in w)]
     phrases = [w for w in words if w not in plain]
-    parts = [d.size(d.keep("w", "x", d.has(d.words(plain), "x")))] if plain else []
+    parts = [d.size(d.keep("w", "x", d.among("x", plain)))] if plain else []
     if phrases:
         parts.append(d.total(d.map(d.words(phrases), "m", "(length(low) - length(replace(low, m, ''))) / length(m)")))
     return " + ".join(parts) or "0"
@@ -66,7 +66,7 @@ def _tone_count(d, lang: str, kind: str) -> str:
 
 def _tone(d):
     by = lambda f: "case " + " ".join(f"when lang = '{x}' then {f(x)}" for x in lexicon.TONE if x != "en") + f" else {f('en')} end"
-    person = lambda x: d.size(d.keep("w", "x", d.has(d.words(lexicon.PRONOUNS[x]), "x")))
+    person = lambda x: d.size(d.keep("w", "x", d.among("x", lexicon.PRONOUNS[x])))
     passive = d.count("edges_", rf"\x01(?:{BEING})\x02{WS}+\x01(?:[a-z0-9_]+ed|{DONE})\x02")
     scores = ["formality", "least(n_academic / greatest(words / 100D, 1D), 1D)", "least(n_marketing / greatest(words / 80D, 1D), 1D)", "1D - formality", "greatest(0D, least(0.7D - formality + subjectivity * 0.3D, 1D))", "1D - greatest(formality, subjectivity, marketing)", "greatest(0D, formality * 0.7D + (1D - subjectivity) * 0.3D)"]
     names = ["formal", "academic", "marketing", "casual", "friendly", "neutral", "professional"]
@@ -218,7 +218,7 @@ def _marks(d):
         {"trailing_lines": d.long(d.count("c", r" +(?:\n|\z)")), "w": d.extract("lower(t)", T5A)},
         {"cleaned": f"case when trailing_lines > 3 then {d.replace('c', r' +(\n|\z)', '$1')} else c end", "ends": ends},
         {"top_": d.part(d.sort(d.map(d.uniq("ends"), "e_", times)), 0, 3)},
-        {"biased": f"{d.size(d.keep('top_', 'x', f'-1D * x.n / {d.size("ends")} > 0.15 and not {d.has(d.words(COMMON_ENDINGS), "x.e")}'))} > 0 and {d.size('w')} >= 50"},
+        {"biased": f"{d.size(d.keep('top_', 'x', f'-1D * x.n / {d.size("ends")} > 0.15 and not {d.among("x.e", COMMON_ENDINGS)}'))} > 0 and {d.size('w')} >= 50"},
         {"n_types": d.long(" + ".join(f"case when {c} then 1 else 0 end" for c in ("zero_width_count > 0", "homoglyph_count > 0", "format_count > 0", "multi_space > 5", "trailing_lines > 3", "biased"))), "characters_removed": "zero_width_count + homoglyph_count + format_count"},
         {"has_marks": "n_types > 0", "mark_confidence": f"case when n_types = 0 then 0D else {rounded('least(0.3D + 0.15D * n_types + 0.01D * characters_removed + 0.05D * homoglyph_count, 1D)', 4)} end", "cleaned_md5": "md5(cleaned)", "ending_bias": "biased"},
     ]
@@ -242,7 +242,7 @@ def _health(d):
 
 def _short_marks(d, t: str) -> list[dict]:
     """Layers that end in mw, cw, n_tok: words of a machine's and of casual prose among the words of t."""
-    member = lambda ws: d.size(d.keep("tk", "x", d.has(d.words(sorted(set(ws), key=ws.index)), "x")))
+    member = lambda ws: d.size(d.keep("tk", "x", d.among("x", ws)))
     return [{"tk": d.extract(f"lower({t})", T2)}, {"mw": f"1D * {member(lexicon.MACHINE_WORDS)}", "cw": f"1D * {member(lexicon.CASUAL_WORDS)}", "n_tok": f"1D * {d.size('tk')}"}]
 
 
@@ -261,7 +261,7 @@ def _heat(d):
     """Layers that end in overall and hw: the first 120 sentences of three words and more, each with what it counts."""
     cut = d.replace("coalesce(text, '')", rf"([.!?…]){WS}+", "$1\x1f")
     kept = d.keep(d.map(d.split(cut, r"\x1F"), "x", trimmed(d, "x")), "x", f"{d.count('x', r'[^\x09-\x0D\x20]+')} >= 3")
-    words = lambda ws, x: d.size(d.keep(x, "v", d.has(d.words(sorted(set(ws), key=ws.index)), "v")))
+    words = lambda ws, x: d.size(d.keep(x, "v", d.among("v", ws)))
     tk = d.extract("lower(y)", T2)
     more = f"case when {d.matches('lower(y)', "n't|'re|'ll|'m|'ve|gonna|wanna")} then 1D else 0D end + case when {d.matches('y', '[!?]+$')} then 0.5D else 0D end"
     return [
@@ -289,8 +289,7 @@ def key_phrases(docs: DataFrame, top: int = 10) -> DataFrame:
     that occurs only inside a longer one); rank by score, then by the place of the first."""
     d = Spark()
     low = docs.select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("low"))
-    stop = d.words(STOP_WORDS)
-    piece = d.join(d.map(d.extract("y", T2), "x", f"case when length(x) < 3 or {d.has(stop, 'x')} then '\x1f' else x end"), " ")
+    piece = d.join(d.map(d.extract("y", T2), "x", f"case when length(x) < 3 or {d.among('x', STOP_WORDS)} then '\x1f' else x end"), " ")
     runs = F.expr(d.map(d.split(d.join(d.map(d.split("low", _CUTS), "y", piece), " \x1f "), r"\x1F"), "x", "trim(x)"))
     each = low.select("doc_id", F.posexplode(runs).alias("place", "phrase")).withColumn("ws", F.split("phrase", " ")).where("phrase <> '' and size(ws) between 2 and 4")
     each = each.groupBy("doc_id", "phrase").agg(F.min("place").alias("place"))

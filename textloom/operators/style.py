@@ -96,7 +96,7 @@ def _occurs(s: str, x: str) -> str:
 def _profile(d) -> list[dict]:
     vowels = "[aeiouyаеёиоуыэюяіїє]+"
     rate = lambda *marks: f"({' + '.join(_occurs(m, 't') for m in marks)}) / (nw / 100D)"
-    share = lambda a, words: f"1D * {d.size(d.keep(a, 'x', d.has(d.words(words), 'x')))}"
+    share = lambda a, words: f"1D * {d.size(d.keep(a, 'x', d.among('x', words)))}"
     of_lang = " ".join(f"when lang = '{c}' then {share('w', FUNCTION_WORDS[c])}" for c in ("ru", "uk"))
     return [
         text(d),
@@ -246,6 +246,21 @@ def _repetition(d):
     ]
 
 
+def _summary(d):
+    """A profile in a few lines for people to read."""
+    show = lambda f, n: f"cast(cast({rounded(f'g_{f}', n)} as decimal(20, {n})) as varchar(40))"
+    lines = [
+        ["lang=", "coalesce(lang, 'en')", "  words=", "cast(words as varchar(20))", "  sentences=", "cast(sentences_ as varchar(20))"],
+        ["avg word length: ", show("avg_word_length", 2), "  (±", show("word_length_std", 2), ")"],
+        ["avg sentence length: ", show("avg_sentence_length", 1), " words  (CV ", show("sentence_length_cv", 2), ")"],
+        ["avg syllables/word: ", show("avg_syllables", 2)], ["TTR: ", show("ttr", 3), "  hapax: ", show("hapax_ratio", 3)], ["function-word ratio: ", show("function_word_ratio", 3)],
+        ["punctuation /100w — comma ", show("comma_rate", 2), ", semicolon ", show("semicolon_rate", 2), ", dash ", show("dash_rate", 2), ', "!" ', show("exclamation_rate", 2), ', "?" ', show("question_rate", 2)],
+        ["sentence starts — pronoun ", show("pronoun_start_ratio", 2), ", article ", show("article_start_ratio", 2), ", conjunction ", show("conjunction_start_ratio", 2)],
+    ]
+    parts = [x if x.startswith(("cast(", "coalesce(")) else d.lit(x) for k, line in enumerate(lines) for x in ([*line] if not k else [chr(10), *line])]
+    return [*_profile(d), {"fingerprint": f"concat({', '.join(parts)})"}]
+
+
 def _entropy(d):
     base = lambda x, a, b: f"greatest(0D, 1D - ({x} - {a}D) / {b}D)"
     east = "lang in ('ru', 'uk')"
@@ -290,6 +305,7 @@ def _perplexity(d):
 OPERATORS = {
     "perplexity": Operator(_perplexity, "perplexity predictability length_variation".split(), extra=["text"]),
     "style_profile": Operator(_style, [*FEATURES, "sample_words", "sample_sentences"], extra=["text", "lang"]),
+    "style_fingerprint": Operator(_summary, ["fingerprint"], extra=["text", "lang"]),
     "metric_voice": Operator(_voice, ["voice"], extra=["text"]),
     "metric_structure": Operator(_structure, ["structure"], extra=["text"]),
     "metric_discourse": Operator(_discourse, ["discourse"], extra=["text"]),

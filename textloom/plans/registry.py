@@ -47,7 +47,9 @@ for _name, _f, _tables, _sql in (
     ("page_blocks", corpus.page_blocks, ["pages"], corpus.BLOCKS_SQL),
     ("site_platform", pages.site_platform, ["pages"], pages.site_sql()),
     ("scan_page", pages.scan_page, ["pages"], pages.scan_sql()),
-    ("marker_counts", corpus.marker_counts, ["documents"], corpus.marker_sql()),
+    ("usage_by_tool", corpus.usage_by_tool, ["events"], corpus.TOOL_SQL),
+    ("feedback_log", corpus.feedback_log, ["events"], corpus.FEEDBACK_LOG_SQL),
+    ("turn_similarity", corpus.turn_similarity, ["conversations"], corpus.TURN_SQL),
     ("summary", language.summary, ["documents"], language.SUMMARY_SQL),
     ("turns_by_role", corpus.similar_turns, ["conversations"], corpus.TURNS_SQL),
     ("style_by_source", style.style_by_source, ["documents"], style.by_source_sql()),

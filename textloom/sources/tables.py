@@ -29,3 +29,20 @@ def media_format(content):
         .when((F.substring(h, 9, 8) == "66747970") & (brand == "71742020"), "mov").when(F.substring(h, 9, 8) == "66747970", "mp4")
         .when(h.startswith("1A45DFA3"), "webm").otherwise("unknown")
     )
+
+
+def data_urls(rows: DataFrame, url_col: str = "url", largest: int = 25 << 20) -> DataFrame:
+    """Rows with a data: address -> content (bytes) and error: null, 'unsupported' for other addresses, 'undecodable', or
+    'too large'. A row that fails is a row with its error, never a failed job."""
+    head = F.regexp_extract(url_col, r"(?s)^data:([^,]*),", 1)
+    body = F.regexp_extract(url_col, r"(?s)^data:[^,]*,(.*)$", 1)
+    read = F.when(head.contains(";base64"), F.try_to_binary(body, F.lit("base64"))).otherwise(F.encode(F.try_url_decode(F.regexp_replace(body, r"\+", "%2B")), "UTF-8"))
+    is_data = F.coalesce(F.col(url_col).rlike(r"(?s)^data:[^,]*,"), F.lit(False))
+    out = rows.withColumn("content", F.when(is_data, read))
+    error = F.when(~is_data, "unsupported").when(F.col("content").isNull(), "undecodable").when(F.octet_length("content") > largest, "too large")
+    return out.withColumn("error", error).withColumn("content", F.when(error.isNull(), F.col("content")))
+
+
+def write_replies(rows: DataFrame, path: str, error_col: str = "error") -> None:
+    """Parquet with ok beside the columns given: whether a row has no error."""
+    rows.withColumn("ok", F.col(error_col).isNull()).write.mode("overwrite").parquet(path)
