@@ -122,6 +122,12 @@ def _occurrences(d, markers: str) -> str:
     return d.total(d.map(markers, "m", "(length(lt) - length(replace(lt, m, ''))) / length(m)"))
 
 
+def _any_hedge(d) -> str:
+    """One search for all patterns: most texts hold none, and are spared a search for each."""
+    both = next(p for p in lexicon.HEDGING if p.startswith(r"\bboth "))
+    return d.matches("mt", "|".join(f"(?:{edged(p)})" for p in lexicon.HEDGING if p != both)) + f" or {_counted(d, 'mt', both)} > 0"
+
+
 def _pattern(d) -> list[dict]:
     starters = rf"^(?:{'|'.join(lexicon.FORMAL_STARTERS)})"
     first = d.replace(f"lower({d.join(d.part(tokens(d, 'y'), 0, 3), ' ')})", "[.,;:]+$", "")
@@ -132,7 +138,7 @@ def _pattern(d) -> list[dict]:
          "phr": d.union("phr0", d.union(d.keep("bureaucratic", "x", "contains(x, ' ')"), "bureaucratic_phrases"))},
         {"dens": f"(1.5D * {_occurrences(d, 'adv')} + 1.3D * {_occurrences(d, 'adj')} + 1.5D * {_occurrences(d, 'verb')} + 2D * {_occurrences(d, 'conn')} + 1.5D * {_occurrences(d, 'bur')} + 3D * {_occurrences(d, 'phr')}) / greatest(n_words, 1D)",
          "present": f"1D * {d.size(d.keep('conn', 'm', 'contains(lt, m)'))}", "f3": d.map("s", "y", first),
-         "hedges": "1D * (" + " + ".join(_counted(d, "mt", p) for p in lexicon.HEDGING) + ")", "enums": "1D * (" + " + ".join(_counted(d, "mt", p) for p in lexicon.COUNTING) + ")",
+         "hedges": f"case when {_any_hedge(d)} then 1D * ({' + '.join(_counted(d, 'mt', p) for p in lexicon.HEDGING)}) else 0D end", "enums": "1D * (" + " + ".join(_counted(d, "mt", p) for p in lexicon.COUNTING) + ")",
          "len": d.map(d.keep(d.map(d.split("t", r"\n"), "x", trimmed(d, "x")), "x", "x <> ''"), "x", d.count("x", r"[^\x09-\x0D\x20]+"))},
         moments(d, "len"),
         {"formal": f"1D * {d.size(d.keep('f3', 'x', f'{d.matches('x', starters)} or {d.size(d.keep(more, 'm', d.begins('x', 'm')))} > 0'))}",
