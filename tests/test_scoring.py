@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 
 from textloom.functions import lexicon, scoring
-from textloom.operators import detector
+from textloom.operators import corpus, detector, pages, signals
 from textloom.sources import packs
 
 FIRST = "Furthermore, it is important to note that Dr. A. B. Smith plays a crucial role in the modern era. "
@@ -50,8 +50,19 @@ def test_parts_of_a_batch(monkeypatch, rows):
     assert len(scoring.score(detector.rules(), texts[:0], langs[:0])) == 0
 
 
+def documents(spark):
+    return spark.createDataFrame([(1, FIRST * 5, "en")], "doc_id long, text string, lang string")
+
+
+def passes(df, capsys) -> int:
+    """How often the plan scores texts."""
+    df.explain()
+    return len(re.findall("ArrowEvalPython", capsys.readouterr().out))
+
+
 def test_detect_is_one_pass(spark, capsys):
-    docs = spark.createDataFrame([(1, FIRST * 5, "en")], "doc_id long, text string, lang string")
-    detector.OPERATORS["detect"].apply(docs).explain()
-    plan = capsys.readouterr().out
-    assert len(re.findall("ArrowEvalPython", plan)) == 1 and "regexp" not in plan
+    assert passes(detector.OPERATORS["detect"].apply(documents(spark)), capsys) == 1
+
+
+def test_content_health_is_one_pass(spark, capsys):
+    assert passes(signals.OPERATORS["content_health"].apply(documents(spark)), capsys) == 1
