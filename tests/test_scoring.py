@@ -66,3 +66,7 @@ def test_detect_is_one_pass(spark, capsys):
 
 def test_content_health_is_one_pass(spark, capsys):
     assert passes(signals.OPERATORS["content_health"].apply(documents(spark)), capsys) == 1
+
+
+def test_detect_with_packs_is_one_pass(spark, capsys):
+    assert passes(detector.WITH_PACKS["detect_with_packs"].apply(packs.with_packs(documents(spark), packs.own_packs(spark))), capsys) == 1
