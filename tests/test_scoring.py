@@ -70,3 +70,7 @@ def test_content_health_is_one_pass(spark, capsys):
 
 def test_detect_with_packs_is_one_pass(spark, capsys):
     assert passes(detector.WITH_PACKS["detect_with_packs"].apply(packs.with_packs(documents(spark), packs.own_packs(spark))), capsys) == 1
+
+
+def test_metric_separation_is_one_pass(spark, capsys):
+    assert passes(corpus.metric_separation(documents(spark), spark.createDataFrame([(1, 1)], "doc_id long, quality int")), capsys) == 1
