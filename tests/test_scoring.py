@@ -74,3 +74,7 @@ def test_detect_with_packs_is_one_pass(spark, capsys):
 
 def test_metric_separation_is_one_pass(spark, capsys):
     assert passes(corpus.metric_separation(documents(spark), spark.createDataFrame([(1, 1)], "doc_id long, quality int")), capsys) == 1
+
+
+def test_quick_score_is_one_pass(spark, capsys):
+    assert passes(signals.OPERATORS["quick_score"].apply(documents(spark)), capsys) == 1
