@@ -78,3 +78,7 @@ def test_metric_separation_is_one_pass(spark, capsys):
 
 def test_quick_score_is_one_pass(spark, capsys):
     assert passes(signals.OPERATORS["quick_score"].apply(documents(spark)), capsys) == 1
+
+
+def test_sentence_scores_is_one_pass(spark, capsys):
+    assert passes(signals.sentence_scores(documents(spark)), capsys) == 1
