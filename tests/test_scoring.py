@@ -82,3 +82,7 @@ def test_quick_score_is_one_pass(spark, capsys):
 
 def test_sentence_scores_is_one_pass(spark, capsys):
     assert passes(signals.sentence_scores(documents(spark)), capsys) == 1
+
+
+def test_scan_page_scores_in_batches(spark, capsys):
+    assert passes(pages.scan_page(spark.createDataFrame([(1, "https://a.example", "<p>" + FIRST * 3 + "</p>")], "page_id long, url string, html string")), capsys) >= 1
