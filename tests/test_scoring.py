@@ -86,3 +86,10 @@ def test_sentence_scores_is_one_pass(spark, capsys):
 
 def test_scan_page_scores_in_batches(spark, capsys):
     assert passes(pages.scan_page(spark.createDataFrame([(1, "https://a.example", "<p>" + FIRST * 3 + "</p>")], "page_id long, url string, html string")), capsys) >= 1
+
+
+def test_metric_separation_scores_labelled_texts_only(spark, capsys):
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    corpus.metric_separation(documents(spark), labels).explain()
+    plan = capsys.readouterr().out
+    assert 0 < plan.index("ArrowEvalPython") < plan.index("LeftSemi")
