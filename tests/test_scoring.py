@@ -7,8 +7,8 @@ import re
 import pyarrow as pa
 import pytest
 
-from textloom.functions import lexicon, scoring
-from textloom.operators import corpus, detector, pages, signals
+from textloom.functions import lexicon, scoring, trigrams
+from textloom.operators import analysis, corpus, detector, pages, signals
 from textloom.sources import packs
 
 FIRST = "Furthermore, it is important to note that Dr. A. B. Smith plays a crucial role in the modern era. "
@@ -88,6 +88,44 @@ def test_scan_page_scores_in_batches(spark, capsys):
     assert passes(pages.scan_page(spark.createDataFrame([(1, "https://a.example", "<p>" + FIRST * 3 + "</p>")], "page_id long, url string, html string")), capsys) >= 1
 
 
+MORE = [*ODD, "A  b ,c ;; d :: i i i. I, i! i't (x] [y) {z the the The. ÿes Ÿes. " * 3, "well I gonna go. don't you know?  So it is really!! Two words. \x1f thus furthermore moreover, we're 3d-print -abc 'tis x_y_z ½a. " * 40, "Σίσυφος ΟΔΟΣ. i̇ İ x. Straße ǆ ǅ. it’s we’re ok… " * 4]
+
+
+def both_ways(spark, also: str, layers, names: list[str]):
+    """What the pass counts besides the measures, and what the expressions say."""
+    docs = spark.createDataFrame([(k * 3 + j, t, x) for k, t in enumerate(MORE) for j, x in enumerate(["en", None, "ru"])], "doc_id long, text string, lang string").repartition(4).cache()
+    fast = detector.Operator(lambda d: detector._scored(False, [], also), names, extra=["text", "lang"]).apply(docs)
+    slow = detector.Operator(layers, names, extra=["text", "lang"]).apply(docs)
+    return ({r.doc_id: r.asDict(True) for r in df.collect()} for df in (fast, slow))
+
+
+def test_health_counts_equal_the_expressions(spark):
+    layers = lambda d: [*analysis._mechanics(d), *analysis._uniqueness(d), {"unique_": "score"}, *analysis._diversity(d), {"variety": "diversity"}]
+    fast, slow = both_ways(spark, "health", layers, ["mechanics", "unique_", "variety"])
+    assert fast == slow and len({r["mechanics"] for r in fast.values()}) > 5
+
+
+def test_content_health_has_no_lists_in_expressions(spark, capsys):
+    signals.OPERATORS["content_health"].apply(documents(spark)).explain()
+    assert "regexp_extract_all" not in capsys.readouterr().out
+
+
+@pytest.mark.parametrize("east", [False, True])
+def test_trigrams_of_a_text_alone(east):
+    texts = [(t or "").lower() for t in MORE]
+    said = [[x.lower() for x in scoring.sentences(detector.rules(), t or "")] for t in MORE]
+    whole = trigrams.perplexity(pa.array(texts), pa.array(said, pa.list_(pa.string())), pa.array(["ru" if east else "en"] * len(texts))).to_pylist()
+    own = [trigrams.alone(scoring._latin(t), s, east) for t, s in zip(texts, said, strict=True)]
+    assert [x for x, y in zip(whole, own, strict=True) if y is not None] == [y for y in own if y is not None]
+    assert sum(y not in (None, 0.5) for y in own) > 5 and None in own
+
+
+def test_lines_that_begin_with_marks():
+    lists = "- a\n -\n\n•\tb\n*c\n1. x\n12) y\n123. z\n9.\n- \n7)"
+    whole = [len(re.findall(p, lists)) for p in (r"(?m)^\s*[-•*]\s", r"(?m)^\s*[0-9]+[.)]\s", r"(?m)(?:^|\n)\s*(?:[0-9]{1,2}[.)]\s|[-*•]\s)")]
+    assert scoring._begun(detector.rules(), lists.split("\n")) == (whole[0], whole[1], whole[2] - whole[0])
+
+
 def test_metric_separation_scores_labelled_texts_only(spark, capsys):
     labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
     corpus.metric_separation(documents(spark), labels).explain()
