@@ -126,6 +126,12 @@ def test_lines_that_begin_with_marks():
     assert scoring._begun(detector.rules(), lists.split("\n")) == (whole[0], whole[1], whole[2] - whole[0])
 
 
+def test_quick_words_equal_the_expressions(spark):
+    layers = lambda d: [*signals._short_marks(d, "coalesce(text, '')"), signals._long_words(d)]
+    fast, slow = both_ways(spark, "quick", layers, ["mw", "cw", "n_tok", "far"])
+    assert fast == slow and len({r["cw"] for r in fast.values()}) > 3
+
+
 def test_metric_separation_scores_labelled_texts_only(spark, capsys):
     labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
     corpus.metric_separation(documents(spark), labels).explain()
