@@ -132,6 +132,12 @@ def test_quick_words_equal_the_expressions(spark):
     assert fast == slow and len({r["cw"] for r in fast.values()}) > 3
 
 
+def test_heat_equals_the_expressions(spark):
+    layers = lambda d: [{"verdict": "'unknown'", "ai_probability": "0D"}, *signals._heat(d)]
+    fast, slow = both_ways(spark, "heat", layers, ["hw"])
+    assert fast == slow and max(len(r["hw"]) for r in fast.values()) == 120
+
+
 def test_metric_separation_scores_labelled_texts_only(spark, capsys):
     labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
     corpus.metric_separation(documents(spark), labels).explain()
