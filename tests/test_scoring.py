@@ -143,3 +143,15 @@ def test_metric_separation_scores_labelled_texts_only(spark, capsys):
     corpus.metric_separation(documents(spark), labels).explain()
     plan = capsys.readouterr().out
     assert 0 < plan.index("ArrowEvalPython") < plan.index("LeftSemi")
+
+
+def test_packs_come_to_the_texts(spark, capsys):
+    packs.with_packs(documents(spark), packs.own_packs(spark)).explain()
+    plan = capsys.readouterr().out
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_lines_and_paragraphs_are_counted_from_one_split():
+    text = "one two.\n\n\nthree four five. \n \nsix seven eight nine ten.\n\n\n\n- eleven\n\n" * 9
+    doubled = scoring._score(detector.rules(), text, "en", None)[0]
+    assert doubled["grammar"] == scoring._score(detector.rules(), text.replace("\n\n\n\n", "\n\n").replace("\n\n\n", "\n\n"), "en", None)[0]["grammar"] != 0.5
