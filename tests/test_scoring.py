@@ -155,3 +155,31 @@ def test_lines_and_paragraphs_are_counted_from_one_split():
     text = "one two.\n\n\nthree four five. \n \nsix seven eight nine ten.\n\n\n\n- eleven\n\n" * 9
     doubled = scoring._score(detector.rules(), text, "en", None)[0]
     assert doubled["grammar"] == scoring._score(detector.rules(), text.replace("\n\n\n\n", "\n\n").replace("\n\n\n", "\n\n"), "en", None)[0]["grammar"] != 0.5
+
+
+def test_sentence_scores_take_the_whole_text(spark):
+    import duckdb
+
+    said = [f"Sentence number {k} goes on." for k in range(300)]
+    late = [f"Late words {k}, furthermore and moreover!" for k in range(200)]
+    texts = [" ".join(said), " ".join(["The same three words."] * 150 + late), "Three words here. " * 119 + "Last of all.", "ok. " * 500 + "But this counts.", None, ""]
+    rows = [(k, t, "en") for k, t in enumerate(texts)] + [(9, "Latin words stand here. " * 200 + "Это русский текст, и его больше. " * 300, None)]
+    got = signals.sentence_scores(spark.createDataFrame(rows, "doc_id long, text string, lang string")).orderBy("doc_id", "index").collect()
+    assert [r.sentence for r in got if r.doc_id == 0] == said and [r.sentence for r in got if r.doc_id == 1][150:] == late
+    assert [(r["index"], r.sentence) for r in got if r.doc_id in (2, 3)][-2:] == [(119, "Last of all."), (0, "But this counts.")]
+    documents = pa.table({"doc_id": [r[0] for r in rows], "text": [r[1] for r in rows], "lang": [r[2] for r in rows]})  # noqa: F841
+    assert [tuple(r) for r in got] == duckdb.sql(f"SELECT * FROM ({signals.sentence_sql()}) ORDER BY doc_id, index").fetchall()
+    assert len([r for r in got if r.doc_id == 9]) == 500
+
+
+def test_all_sentences_of_the_pass_equal_the_expressions(spark):
+    layers = lambda d: [{"verdict": "'unknown'", "ai_probability": "0D"}, *signals._heat(d)]
+    fast, slow = both_ways(spark, "heat", layers, ["hw"])
+    assert fast == slow and max(len(r["hw"]) for r in fast.values()) > 120
+
+
+def test_sentence_scores_take_the_language_of_the_whole_text():
+    text = "Latin words stand here. " * 200 + "Это русский текст, и его больше. " * 300
+    read = lambda also: scoring._score(detector.rules(), text, None, None, also)[2]
+    assert (read(""), read("heat")) == ("en", "ru")
+    assert "4000" not in signals.sentence_sql() and "4000" in detector.OPERATORS["detect"].sql()
